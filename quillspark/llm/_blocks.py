@@ -35,14 +35,13 @@ SLICE = 1 << 20
 
 @dataclass(frozen=True)
 class Units:
-    """How a text becomes units. `hashes(texts)` gives one 64-bit value per unit and the bounds of each text."""
+    """How a text becomes units: one 64-bit value per unit and the bounds of each text; a text's length and a cutter."""
 
     window: int
     gram: int
     block: int
     hashes: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
-    cut: Callable[[bytes], Callable[[int, int], bytes]]
-    count: Callable[[bytes], int]
+    opened: Callable[[bytes], tuple[int, Callable[[int, int], bytes]]]
 
 
 def sliding(a: np.ndarray, width: int, op) -> np.ndarray:
@@ -56,17 +55,23 @@ def sliding(a: np.ndarray, width: int, op) -> np.ndarray:
     return op(cur[:n], cur[width - span : width - span + n])
 
 
+def grams(unit: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of `width` units, by doubling; the last step may overlap, which gives as good a key."""
+    h, done = unit, 1
+    with np.errstate(over="ignore"):
+        while done < width:
+            step = min(done, width - done)
+            h = mix64(h[:-step] * np.uint64(0x9E3779B97F4A7C15) + h[step:])
+            done += step
+    return h
+
+
 def anchors(unit: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the anchors of all windows that lie inside one text."""
     n = len(unit)
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, done = unit, 1
-    with np.errstate(over="ignore"):
-        while done < gram:  # h[i] covers `done` units; the last step overlaps, which is as good a key
-            step = min(done, gram - done)
-            h = mix64(h[:-step] * np.uint64(0x9E3779B97F4A7C15) + np.roll(h, -step)[:-step])
-            done += step
+    h = grams(unit, gram)
     low = sliding(h, window - gram + 1, np.minimum)
     inside = np.zeros(n, bool)
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -241,7 +246,7 @@ def _segments(units: Units):
             for doc, text, crc in zip(ids, texts, crcs, strict=True):
                 if (doc, crc) not in firsts or not (values := notes.of(doc, crc)) or not len(values[0]):
                     continue
-                n, cut = units.count(text), units.cut(text)
+                n, cut = units.opened(text)
                 at, key = values[0].astype(np.int64), values[1]
                 order = np.lexsort((at, key))
                 at, key = at[order], key[order]

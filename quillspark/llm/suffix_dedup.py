@@ -167,13 +167,13 @@ def _hashes(texts: list[bytes]):
     return _BYTE[raw], np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
 
 
-def _cut(text: bytes):
-    return lambda a, b: text[a:b]
+def _opened(text: bytes):
+    return len(text), lambda a, b: text[a:b]
 
 
 def byte_units(min_bytes: int) -> Units:
     gram = max(1, min(20, min_bytes - 1))
-    return Units(window=min_bytes, gram=gram, block=4096, hashes=_hashes, cut=_cut, count=len)
+    return Units(window=min_bytes, gram=gram, block=4096, hashes=_hashes, opened=_opened)
 
 
 def covered(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
