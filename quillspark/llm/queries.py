@@ -17,6 +17,30 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.digest(op.suffix_dedup(_table(spark, sf_dir, "documents"), min_bytes=50))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import substring_dedup as op
+
+    return op.digest(op.substring_dedup(_table(spark, sf_dir, "documents"), min_words=50))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import secrets as op
+
+    return op.digest(op.secrets(_table(spark, sf_dir, "documents"), repository="source", owner="source"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import quality as op
+
+    return op.digest(op.apply_policy(op.ledger(_table(spark, sf_dir, "documents"))))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import pii as op
+
+    return op.digest(op.pii(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
