@@ -35,6 +35,20 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.digest(op.apply_policy(op.ledger(_table(spark, sf_dir, "documents"))))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from quillspark.llm import packing as op
+
+    return op.digest(op.pack_documents(_table(spark, sf_dir, "documents"), path("word_bpe_49k.json"), length=4096))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import simhash_dedup as op
+
+    return op.digest(op.simhash_groups(_table(spark, sf_dir, "documents"), shingle=4, radius=4))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import pii as op
 
