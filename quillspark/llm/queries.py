@@ -17,6 +17,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.digest(op.suffix_dedup(_table(spark, sf_dir, "documents"), min_bytes=50))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import line_dedup as op
+
+    return op.digest(op.line_dedup(_table(spark, sf_dir, "documents")))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import substring_dedup as op
 
