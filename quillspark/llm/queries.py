@@ -49,6 +49,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.digest(op.pack_documents(_table(spark, sf_dir, "documents"), path("word_bpe_49k.json"), length=4096))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import html_extract as op
+
+    return op.digest(op.extract(_table(spark, sf_dir, "pages")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import simhash_dedup as op
 
