@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_bars")
 SCHEMA = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
@@ -103,6 +104,21 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured.select("*", fail_bits())
 
 
+def _beside(batches):
+    for batch in batches:
+        rows = [measure(t.as_py() or b"") for t in batch.column(batch.schema.get_field_index("_qs_text")).cast(pa.binary())]
+        cols = zip(*rows, strict=True) if rows else [[] for _ in MEASURES]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in cols)], [*batch.schema.names, *(f"_qs_{m}" for m in MEASURES)])
+
+
+def keep(docs: DataFrame, policy: Policy = POLICIES["v1"]) -> DataFrame:
+    """The rows of `docs` (text, ...) that pass a policy, all columns as they are; the ledger is made beside them, with no join."""
+    wide = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_qs_row"), F.col("text").cast("string").alias("_qs_text"))
+    schema = T.StructType([*wide.schema.fields, *(T.StructField(f"_qs_{m}", T.LongType()) for m in MEASURES)])
+    measured = wide.mapInArrow(_beside, schema).select("_qs_row", *(F.col(f"_qs_{m}").alias(m) for m in MEASURES))
+    return measured.withColumn("fail_bits", fail_bits()).where(passes(policy)).select("_qs_row.*")
+
+
 def passes(policy: Policy) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0
 

@@ -75,8 +75,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.digest(op.pii(_table(spark, sf_dir, "documents")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name == "pipeline" or (name.startswith("op") and callable(f))}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -80,13 +80,18 @@ def variant_keys(prints: np.ndarray, radius: int) -> list[np.ndarray]:
 
 
 def _variants(radius: int, buckets: int):
+    """(fingerprint, ..., node) rows to the variants of all fingerprints, packed by hash bucket."""
+
     def run(batches):
         for batch in batches:
-            prints, node = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            if not len(prints):
+            node = batch.column(batch.num_columns - 1).to_numpy()
+            if not len(node):
                 continue
-            key = np.concatenate(variant_keys(prints, radius))
-            which = np.tile(np.arange(len(prints)), 64)
+            columns = [batch.column(i).to_numpy().view(np.uint64) for i in range(batch.num_columns - 1)]
+            # fingerprints of one column only meet those of the same
+            key = np.concatenate([k ^ np.uint64(i * 0x5851F42D4C957F2D) for i, p in enumerate(columns) for k in variant_keys(p, radius)])
+            prints = np.concatenate([np.tile(p, 64) for p in columns])
+            node = np.tile(node, 64 * len(columns))
             bucket = ((key & np.uint64(0xFFFF)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
             order = np.argsort(bucket, kind="stable")
             bucket = bucket[order]
@@ -95,7 +100,7 @@ def _variants(radius: int, buckets: int):
             for a, b in zip(begin, [*begin[1:], len(order)], strict=True):
                 o = order[a:b]
                 six = key[o].view(np.uint8).reshape(-1, 8)[:, 2:].reshape(-1)
-                blobs.append(pack(six, prints[which[o]], node[which[o]]))
+                blobs.append(pack(six, prints[o], node[o]))
             yield pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
@@ -140,7 +145,13 @@ def _links(radius: int):
         key, order = ordered(np.concatenate(keys))
         p, n = np.concatenate(prints)[order], np.concatenate(nodes)[order]
         del keys, prints, nodes
-        u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        order = np.lexsort((p, key))
+        key, p, n = key[order], p[order], n[order]
+        same = np.concatenate(([False], (key[1:] == key[:-1]) & (p[1:] == p[:-1])))
+        u, v = n[1:][same[1:]], n[:-1][same[1:]]  # equal fingerprints form a chain; the first stands for them below
+        if len(u):
+            u, v = forest(u, v)
+        key, p, n = key[~same], p[~same], n[~same]
         for i, j in close_pairs(key, p, radius):
             if len(i):
                 u, v = np.concatenate((u, n[i])), np.concatenate((v, n[j]))
@@ -166,5 +177,85 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFr
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id"))
 
 
+def _word_prints(seeds: tuple[int, ...]):
+    def run(batches):
+        for batch in batches:
+            words = [set(t.lower().split()) for t in binary_column(batch.column(2))]
+            cols = []
+            for seed in seeds:
+                h = xxhash.xxh64_intdigest
+                prints = np.fromiter((fingerprint(np.fromiter((h(w, seed) for w in ws), np.uint64, len(ws))) for ws in words), np.uint64, len(words))
+                cols.append(pa.array(prints.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "h", *(f"fp{i}" for i in range(len(seeds)))])
+
+    return run
+
+
+class Leaders:
+    """The kept documents of one component. A document follows a leader if their shingle sets are similar enough."""
+
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+        self.sets: list[np.ndarray] = []
+        self.index: dict[int, list[int]] = {}
+
+    def follow(self, hashes: np.ndarray) -> bool:
+        """False if the document becomes a leader itself. Similar sets share one of their first hashes (prefix filter)."""
+        s = np.unique(hashes)
+        prefix = s[: len(s) - int(np.ceil(self.similarity * len(s) - 1e-9)) + 1].tolist()
+        for k in sorted({k for x in prefix for k in self.index.get(x, ())}):
+            t = self.sets[k]
+            if min(len(s), len(t)) >= self.similarity * max(len(s), len(t)):
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if both >= self.similarity * (len(s) + len(t) - both):
+                    return True
+        self.sets.append(s)
+        for x in prefix:
+            self.index.setdefault(x, []).append(len(self.sets) - 1)
+        return False
+
+
+def _lead(shingle: int, similarity: float):
+    def run(batches):
+        last, leaders = None, Leaders(similarity)
+        for batch in batches:
+            nodes, hs = [], []
+            for root, node, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), binary_column(batch.column(3)), strict=True):
+                if root != last:
+                    last, leaders = root, Leaders(similarity)
+                if leaders.follow(shingle_hashes(text, shingle)):
+                    nodes.append(node)
+                    hs.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(hs, pa.int64())], ["doc_id", "h"])
+
+    return run
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 7, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
+    """The rows of `docs` without those that repeat an earlier document's text or nearly so.
+
+    A fingerprint of word shingles moves too far at a similarity of 0.8 (about 10 of 64 bits), one of the set of
+    words moves less (about 5), so candidates are linked by the deletion variants of one such fingerprint for each
+    seed.  In each component, by growing id, a document goes if the exact Jaccard similarity of its `shingle`-word
+    sets to a document that stays is `similarity` or more; so every document that goes has its like among those that
+    stay.  Rows with a null id stay; rows that repeat both id and text stay or go together.
+    """
+    parts = n_parts(docs)
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
+    fps = [f"fp{i}" for i in range(len(seeds))]
+    prints = rows.mapInArrow(_word_prints(seeds), "doc_id long, h long, " + ", ".join(f"{c} long" for c in fps))
+    nodes = stage(prints.groupBy("h").agg(F.min(F.struct("doc_id", *fps)).alias("m")).select("h", F.col("m.doc_id").alias("node"), *(f"m.{c}" for c in fps)), "simhash-nodes")
+    packed = nodes.select(*fps, "node").mapInArrow(_variants(radius, min(4 * parts, 1 << 16)), "bucket int, blob binary")
+    links = packed.repartition(parts, "bucket").mapInArrow(_links(radius), "u long, v long")
+    roots = components(links, "simhash-near")
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "h"), "node")
+    texts = rows.join(members.select(F.col("node").alias("n_"), F.col("h").alias("h_"), "root"), (F.col("doc_id") == F.col("n_")) & (F.col("h") == F.col("h_")))
+    texts = texts.select("root", "doc_id", "h", "text").repartition(parts, "root").sortWithinPartitions("root", "doc_id")
+    gone = stage(texts.mapInArrow(_lead(shingle, similarity), "doc_id long, h long"), "simhash-gone")
+    kept = nodes.select(F.col("node").alias("doc_id"), "h").join(gone, ["doc_id", "h"], "left_anti").select(F.col("doc_id").alias("_qs_doc"), F.col("h").alias("_qs_h"))
+    whole = docs.join(kept, (docs["doc_id"].cast("long") == F.col("_qs_doc")) & (F.xxhash64(docs["text"]) == F.col("_qs_h")), "left_semi")
+    return whole.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def digest(groups: DataFrame) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
