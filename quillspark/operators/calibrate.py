@@ -77,7 +77,7 @@ def contributions(wide: DataFrame, fits: dict[str, Fit], weights: dict[str, floa
     raw = lambda n: F.col(n).cast("double")
     std = wide.select("*", *(F.when(raw(n) > 0, (F.log(raw(n)) - fits[n].mu) / fits[n].sigma / math.sqrt(2)).alias(f"_z_{n}") for n in good))
     norm = lambda n: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (0.5 * (1 + erf(F.col(f"_z_{n}"))) - FLOOR) / (1 - FLOOR)))
-    part = lambda n: F.coalesce(F.lit(float(weights[n])) * F.log1p(norm(n)), F.lit(0.0)) if n in good else F.lit(0.0)
+    part = lambda n: F.when(F.col(f"_z_{n}").isNotNull(), F.lit(float(weights[n])) * F.log1p(norm(n))).otherwise(0.0) if n in good else F.lit(0.0)
     return std.select(*wide.columns, *(part(n).alias(f"c_{n}") for n in names))
 
 
