@@ -291,6 +291,18 @@ def heat_scale(spark, sf_dir):
     return c.crossJoin(F.broadcast(p95)).select("c_custkey", micro(rollup.heat_hue(F.col("c_acctbal"), F.col("p"))).alias("hue"))
 
 
+@query()
+def treemap_layout(spark, sf_dir):
+    """Rectangles of the sources by S: one row a source reaches the driver, as in the report."""
+    from quillspark.reports.html import layout
+
+    scores = document_scores(spark, sf_dir).select("doc_id", "s", "t")
+    by = scores.join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
+    rows = by.groupBy(F.concat_ws("/", "lang", "source").alias("path")).agg(F.sum("s").alias("s"), F.max("t").alias("t")).collect()
+    cells = [(c["path"], *(round(c[k], 3) for k in "xywh")) for c in layout([r.asDict() for r in rows])]
+    return spark.createDataFrame(cells, "path string, x double, y double, w double, h double")
+
+
 # ---------------------------------------------------------------- detectors
 
 
