@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from quillspark.llm._common import first_per_value, group_col, group_of, mix64, n_parts, ordered, pack, stage, unpack
 
-#: Units handled at once by the vectorised code.
+#: Bytes of documents handled at once, and units of one text.
 SLICE = 1 << 20
+PIECE = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -71,6 +72,14 @@ def anchors(unit: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tup
     n = len(unit)
     if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if n > 2 * PIECE:  # a very long text: pieces that overlap by a window less one unit, so each window is in one
+        found = []
+        for a in range(0, n - window + 1, PIECE):
+            b = min(n, a + PIECE + window - 1)
+            at, h = anchors(unit[a:b], np.unique(np.clip(bounds, a, b)) - a, window, gram)
+            found.append((at + a, h))
+        at, first = np.unique(np.concatenate([x for x, _ in found]), return_index=True)
+        return at, np.concatenate([x for _, x in found])[first]
     h = grams(unit, gram)
     low = sliding(h, window - gram + 1, np.minimum)
     inside = np.zeros(n, bool)

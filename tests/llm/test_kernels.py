@@ -68,6 +68,16 @@ def test_equal_windows_have_equal_anchors(texts, gram, window):
             assert seen.setdefault(t[k : k + window], key) == key
 
 
+def test_anchors_of_a_long_text_do_not_depend_on_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 100, n).tolist()) for n in (3, 700, 60, 2500)]
+    unit, bounds = suffix_dedup._hashes(texts)
+    whole = _blocks.anchors(unit, bounds, 50, 20)
+    monkeypatch.setattr(_blocks, "PIECE", 200)
+    pieces = _blocks.anchors(unit, bounds, 50, 20)
+    assert [x.tolist() for x in whole] == [x.tolist() for x in pieces]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 6), max_size=14), st.lists(st.integers(0, 6), max_size=14))
 def test_alignments(a, b):
