@@ -19,7 +19,7 @@ from quillspark.sources import git as G
 from quillspark.sources import gofacts, gosrc
 from quillspark.sources.config import CACHE_NAME, Config, load_calibration, save_calibration
 
-FILES = "frame string, path string, src binary"
+LISTING = "frame string, ref string, name string, path string"
 
 
 def cross_enabled(config: Config) -> bool:
@@ -84,7 +84,7 @@ def changes_of(spark: SparkSession, raw: list[dict], numstat: list[dict]) -> Dat
     return rows.select(classify_change(F.col("status")).alias("kind"), F.col("key").alias("path"), old.alias("old_path"), F.coalesce("added", F.lit(0)).alias("added"), F.coalesce("removed", F.lit(0)).alias("removed"), reason.alias("reason"))
 
 
-def module_of(files: dict[str, bytes], git: G.Git, ref: str) -> str:
+def module_of(git: G.Git, ref: str) -> str:
     text = G.blobs(git, ref, ["go.mod"]).get("go.mod", b"").decode(errors="replace")
     return next((line.split()[1] for line in text.splitlines() if line.startswith("module ") and len(line.split()) > 1), "")
 
@@ -100,13 +100,13 @@ def check(spark: SparkSession, git: G.Git, base: str, head: str, config: Config
 
     # both refs as frames of one table; a renamed file keeps its head path in the base frame
     old_name = {c["old_path"]: c["path"] for c in used if c["old_path"]}
-    base_files = {old_name.get(p, p): src for p, src in G.tree_files(git, base_sha).items()}
-    for old, new in old_name.items():  # a rename into the analysable tree has its base side there too
-        if is_analyzable(new) and new not in base_files and not is_analyzable(old):
-            base_files |= {new: src for src in G.blobs(git, base_sha, [old]).values()}
-    head_files = G.tree_files(git, head_sha)
-    rows = [("base", p, bytearray(s)) for p, s in base_files.items()] + [("head", p, bytearray(s)) for p, s in head_files.items()]
-    parsed = gosrc.parsed(spark.createDataFrame(rows, FILES)).cache()
+    listing = [("base", base_sha, p, old_name.get(p, p)) for p in G.source_files(git, base_sha)]
+    seen = {row[3] for row in listing}
+    # a rename into the analysable tree has its base side there too
+    listing += [("base", base_sha, old, new) for old, new in old_name.items() if is_analyzable(new) and new not in seen]
+    listing += [("head", head_sha, p, p) for p in G.source_files(git, head_sha)]
+    files = G.contents(spark.createDataFrame(listing, LISTING), git.root).cache()
+    parsed = gosrc.parsed(files).cache()
     go = changes.where("reason is null").where(F.col("path").endswith(".go")).where(_analyzable())
     both = go.where(F.col("kind").isin("modified", "renamed")).select("path")
     sides = parsed.select("path", "frame").distinct().groupBy("path").agg(F.count("*").alias("n"))
@@ -124,13 +124,11 @@ def check(spark: SparkSession, git: G.Git, base: str, head: str, config: Config
     texts = G.patches(git, base_sha, head_sha)
     facts = detectors.Facts(patches=spark.createDataFrame(list(texts.items()), "path string, patch string").join(changes.where("reason is null").select("path"), "path", "left_semi"))
     touched = [c["path"] for c in used if c["path"].endswith(".go")]
-    if touched and head_files:
-        head_rows = spark.createDataFrame([(p, bytearray(s)) for p, s in head_files.items()], "path string, src binary")
-        for name, df in gofacts.relations(head_rows, module_of(head_files, git, head_sha)).items():
+    if touched:
+        for name, df in gofacts.relations(files.where("frame = 'head'"), module_of(git, head_sha)).items():
             setattr(facts, name, df)
         facts.changed = spark.createDataFrame([(p,) for p in touched], "path string")
-        base_rows = spark.createDataFrame([(p, bytearray(s)) for p, s in base_files.items()], "path string, src binary")
-        facts.base_funcs = gofacts.relations(base_rows)["head_funcs"]
+        facts.base_funcs = gofacts.relations(files.where("frame = 'base'"))["head_funcs"]
         facts.head_funcs = facts.head_funcs.join(facts.changed, "path", "left_semi")
     by_path = detectors.analyze(facts, changes.where("reason is null")).cache()
     rank_max = detectors.change_class(by_path).first()["class"]
@@ -158,8 +156,9 @@ def history(spark: SparkSession, git: G.Git, ref: str = "HEAD", limit: int = 30,
     config = config or Config()
     commits = G.log(git, ref, limit, first_parent)
     cal = resolve_calibration(tree_features(gosrc.read_tree(spark, git.root), config), config, cache)
-    rows = [(c["sha"], p, bytearray(s)) for c in commits for p, s in G.tree_files(git, c["sha"]).items()]
-    feats = gosrc.features(gosrc.parsed(spark.createDataFrame(rows, FILES)), cross=cross_enabled(config))
+    listing = [(c["sha"], c["sha"], p, p) for c in commits for p in G.source_files(git, c["sha"])]
+    files = G.contents(spark.createDataFrame(listing, LISTING), git.root)
+    feats = gosrc.features(gosrc.parsed(files), cross=cross_enabled(config))
     totals = series(score(feats, cal, config.weights), ["frame"])
     listed = spark.createDataFrame(commits, "sha string, short_sha string, commit_time string, subject string, position int")
     out = listed.join(totals, listed.sha == totals.frame, "left")

@@ -1,4 +1,4 @@
-"""Git history as relations. Listing and diff run on the driver, one process each; contents come in one batch per ref."""
+"""Git history as relations. Listing and diff run on the driver, one process each; contents are read by the tasks."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ import subprocess
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 from quillspark.operators.paths import is_analyzable
 
 
@@ -131,6 +134,29 @@ def blobs(git: Git, ref: str, paths: list[str]) -> dict[str, bytes]:
     return parse_batch(git.run("cat-file", "--batch", stdin=asked), usable)
 
 
+def contents(listing: DataFrame, root: str) -> DataFrame:
+    """frame, path, src of a listing (frame, ref, name, path), read by the tasks: one process for each ref of a batch.
+
+    `root` must be a repository that every worker can reach; names that a ref lacks are left out.
+    """
+    git = Git(root)
+
+    def fetch(batches):
+        for batch in batches:
+            wanted: dict[str, list[tuple[str, str, str]]] = {}
+            for frame, ref, name, path in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                wanted.setdefault(ref, []).append((frame, name, path))
+            rows = []
+            for ref, entries in wanted.items():
+                found = blobs(git, ref, sorted({n for _, n, _ in entries}))
+                rows += [(frame, path, found[name]) for frame, name, path in entries if name in found]
+            cols = list(zip(*rows, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary())], ["frame", "path", "src"])
+
+    # neighbouring rows share a ref, so that a task starts few processes
+    return listing.repartitionByRange("ref", "path").select("frame", "ref", "name", "path").mapInArrow(fetch, "frame string, path string, src binary")
+
+
 def log(git: Git, ref: str, limit: int, first_parent: bool = False) -> list[dict]:
     """The newest commits, oldest first."""
     if limit <= 0:
@@ -171,6 +197,6 @@ def churn(git: Git, since_days: int, as_of: datetime | None = None) -> dict[str,
     return counts
 
 
-def tree_files(git: Git, ref: str) -> dict[str, bytes]:
-    """Analysable files of a ref with their contents."""
-    return blobs(git, ref, sorted(p for p in tree(git, ref) if is_analyzable(p)))
+def source_files(git: Git, ref: str) -> list[str]:
+    """Analysable files of a ref."""
+    return sorted(p for p in tree(git, ref) if is_analyzable(p))
