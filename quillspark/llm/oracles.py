@@ -46,4 +46,18 @@ sums AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FRO
 SELECT d.doc_id, (length(x)//2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
-SQL = {"op1_suffix_dedup": OP1, "op4_substring_dedup": OP4, "op6_quality": OP6}
+_NORM = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+
+#: every item-sized window that starts at a shared shingle, by exact multiset similarity, without fingerprints
+OP2 = rf"""
+WITH d AS (SELECT doc_id, {_NORM} AS w FROM documents),
+items AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, {_NORM} AS w FROM benchmark) WHERE len(w) >= 5),
+held AS (SELECT item_id, n, s, count(*) AS c FROM (SELECT item_id, n, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT item_id, n, w, unnest(range(1, n-3)) AS i FROM items)) GROUP BY ALL),
+sh AS (SELECT doc_id, i - 1 AS p, dn, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT doc_id, w, len(w) AS dn, unnest(range(1, len(w)-3)) AS i FROM d)),
+st AS (SELECT DISTINCT doc_id, item_id, n, least(dn, n) - 4 AS wide, least(p, greatest(dn - n, 0)) AS start FROM sh JOIN held USING (s)),
+win AS (SELECT st.doc_id, item_id, n, wide, start, x.s, count(*) AS c FROM st JOIN sh x ON x.doc_id = st.doc_id AND x.p >= start AND x.p < start + wide GROUP BY ALL),
+sim AS (SELECT doc_id, win.item_id, start, sum(least(win.c, held.c)) AS b, any_value(wide) AS wide, any_value(win.n) AS n FROM win JOIN held ON held.item_id = win.item_id AND held.s = win.s GROUP BY 1, 2, 3),
+r AS (SELECT doc_id, item_id, start, b / (wide + n - 4 - b) AS v FROM sim)
+SELECT doc_id, item_id, arg_max(start, (v, -start))::BIGINT AS start_word, round(max(v), 6) AS similarity FROM r WHERE v >= 0.8 GROUP BY 1, 2"""
+
+SQL = {"op2_decontaminate": OP2, "op1_suffix_dedup": OP1, "op4_substring_dedup": OP4, "op6_quality": OP6}
