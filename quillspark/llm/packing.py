@@ -26,22 +26,49 @@ from pyspark.sql import functions as F
 from quillspark.llm._blocks import binary_column
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-_MOST_WORDS = 1 << 19
+_MOST_WORDS = 1 << 20
+#: Below it every letter is its own composed form and has a one-letter lower case, but for U+0130.
+_PLAIN_BELOW = "\u0250"
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one past 255."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    more = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(more)) for b in range(256)]
 
 
 class WordIds(dict):
-    """The ids of each word, as little-endian unsigned 32-bit values, remembered up to a bound."""
+    """The ids of each word, as little-endian unsigned 32-bit values, remembered up to a bound.
+
+    A word of plain letters goes straight to the vocabulary's model, which is what its pre-tokeniser would hand
+    on; a full stop or comma behind a letter is a token of its own; all other words take the whole way.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model = tokenizer.encode, tokenizer.model.tokenize
+        self.letters = byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= _MOST_WORDS:
             self.clear()
-        ids = self[word] = np.asarray(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = word.decode()
+        if text.isalpha() and max(text) < _PLAIN_BELOW and "\u0130" not in text:
+            low = text.lower()
+            if low.isascii():
+                got = [t.id for t in self.model(low)]
+            else:
+                got = [t.id for t in self.model("".join([self.letters[b] for b in low.encode()]))]
+            ids = np.asarray(got, "<u4").tobytes()
+        elif len(text) > 1 and text[-1] in ".," and text[-2].isalpha():
+            ids = self[text[:-1].encode()] + self[text[-1].encode()]
+        else:
+            ids = np.asarray(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
         return ids
 
 
