@@ -133,7 +133,8 @@ def overlapping(lines: DataFrame, rare_df: int, rare_words: int) -> DataFrame:
 def deletions(docs: DataFrame, min_words: int, rare_df: int, rare_words: int) -> DataFrame:
     """(doc_id, h, gone): the line numbers to delete, by document and hash of its text."""
     slim = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    lines = stage(slim.mapInArrow(_lines, LINES), "lines").dropDuplicates(["doc_id", "h"])
+    # written after the deduplication, so that the joins below deal its rows anew and can split a hot owner
+    lines = stage(slim.mapInArrow(_lines, LINES).dropDuplicates(["doc_id", "h"]), "lines")
     pairs = stage(overlapping(lines, rare_df, rare_words), "line-pairs")
     mine = pairs.join(lines, ["doc_id", "h"])
     theirs = lines.select(F.col("doc_id").alias("o"), F.col("h").alias("oh"), F.col("lines").alias("theirs"))
