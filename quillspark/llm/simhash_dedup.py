@@ -168,7 +168,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFr
     """doc_id, fp and component_id (the smallest id reachable over links) for each row of `docs` (doc_id, text)."""
     parts = n_parts(docs)
     prints = stage(fingerprints(docs, shingle), "simhash-prints")
-    nodes = prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node"))
+    # written, so that the last join deals its rows anew and can split a fingerprint that many documents have
+    nodes = stage(prints.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     packed = nodes.mapInArrow(_variants(radius, min(4 * parts, 1 << 16)), "bucket int, blob binary")
     links = packed.repartition(parts, "bucket").mapInArrow(_links(radius), "u long, v long")
     roots = components(links, "simhash")
