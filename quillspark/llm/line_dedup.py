@@ -1,10 +1,12 @@
 """Line dedup by pairwise alignment.
 
-Overlapping documents are found through shared rare lines.  A line is rare if few documents hold it, or if
-it mostly stands between the same neighbours however many do (a group of copies): boilerplate, which turns
-up between ever different lines, proposes no pair.  Each document is paired with the *owners* of its rare
-lines, the smallest documents that hold them; the number of pairs is at most the number of lines, however
-large a group is.  Each pair is aligned by patience diff over line hashes (lines that are unique in both
+Overlapping documents are found through shared *runs*: consecutive lines, one or more, that reach `min_words`
+words and would not without the first or without the last of them.  Every line of a block that may be deleted
+lies in such a run of that block, so all runs propose pairs, however many documents hold them.  Lines too short
+to be deleted alone also propose pairs if they are rare: few documents hold them, or they mostly stand between
+the same neighbours.  Each document is paired with the *owners* of its runs and rare lines, the smallest
+documents that hold them; the number of pairs is at most three times that of the lines, however large a group
+is.  Each pair is aligned by patience diff over line hashes (lines that are unique in both
 anchor a longest increasing chain, the gaps are aligned in turn), and the aligned common blocks of
 `min_words` words or more are deleted from the later document.  Decisions are made on the input texts.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 import bisect
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,19 +30,35 @@ from pyspark.sql import functions as F
 from quillspark.llm._blocks import binary_column
 from quillspark.llm._common import stage
 
-LINES = "doc_id long, h long, lines array<long>, at array<int>, words array<int>"
+LINES = "doc_id long, h long, lines array<long>, at array<int>, words array<int>, runs array<long>"
 SALTS = 8
 
 
-def _lines(batches):
-    for batch in batches:
-        hashes, ats, words = [], [], []
-        for text in binary_column(batch.column(2)):
-            row = [(i, s) for i, x in enumerate(text.split(b"\n")) if (s := x.strip())]
-            hashes.append([xxhash.xxh64_intdigest(s) - (1 << 63) for _, s in row])
-            ats.append([i for i, _ in row])
-            words.append([len(s.split()) for _, s in row])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64())), pa.array(ats, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32()))], ["doc_id", "h", "lines", "at", "words"])
+def runs(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(begin, end) of the shortest runs of lines from each line and up to each line that reach `min_words` words."""
+    total, need = np.concatenate(([0], np.cumsum(words, dtype=np.int64))), max(1, min_words)
+    begin = np.arange(len(words))
+    end = np.searchsorted(total, total[:-1] + need)
+    out = set(zip(begin[end <= len(words)].tolist(), end[end <= len(words)].tolist(), strict=True))
+    first = np.searchsorted(total, total[1:] - need, "right") - 1
+    return sorted(out | set(zip(first[first >= 0].tolist(), (begin + 1)[first >= 0].tolist(), strict=True)))
+
+
+def _lines(min_words: int):
+    def run(batches):
+        for batch in batches:
+            hashes, ats, words, keys = [], [], [], []
+            for text in binary_column(batch.column(2)):
+                row = [(i, s) for i, x in enumerate(text.split(b"\n")) if (s := x.strip())]
+                hashes.append([xxhash.xxh64_intdigest(s) - (1 << 63) for _, s in row])
+                ats.append([i for i, _ in row])
+                words.append([len(s.split()) for _, s in row])
+                raw = np.array(hashes[-1], np.int64).tobytes()
+                keys.append(list({xxhash.xxh64_intdigest(raw[8 * a : 8 * b]) - (1 << 63) for a, b in runs(words[-1], min_words)}))
+            arrays = [pa.array(hashes, pa.list_(pa.int64())), pa.array(ats, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "h", "lines", "at", "words", "runs"])
+
+    return run
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -113,17 +132,18 @@ def _align(min_words: int):
     return run
 
 
-def overlapping(lines: DataFrame, rare_df: int, rare_words: int) -> DataFrame:
-    """(doc_id, h, owner): each document with the smallest documents that hold its rare lines."""
-    rows = lines.select("doc_id", "h", F.posexplode("lines").alias("i", "line"), "lines", "words")
+def overlapping(lines: DataFrame, min_words: int, rare_df: int, rare_words: int) -> DataFrame:
+    """(doc_id, h, owner): each document with the smallest documents that hold its runs and its short rare lines."""
+    short = lines.select("doc_id", "h", F.posexplode("lines").alias("i", "line"), "lines", "words")
     around = F.xxhash64(F.get("lines", F.col("i") - 1), F.get("lines", F.col("i") + 1))
-    rows = rows.where(F.get("words", "i") >= rare_words).select("doc_id", "h", "line", around.alias("around"))
+    short = short.where((F.get("words", "i") >= rare_words) & (F.get("words", "i") < min_words)).select("doc_id", "h", "line", around.alias("around"))
+    rows = lines.select("doc_id", "h", F.explode("runs").alias("line"), F.lit(None).cast("long").alias("around")).unionByName(short)
     places = rows.groupBy("line", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h")).alias("first"), F.max("doc_id").alias("last"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     owners = (
         places.groupBy("line")
-        .agg(F.sum("n").alias("n"), F.count("*").alias("places"), F.min("first").alias("owner"), F.max("last").alias("last"))
-        .where((F.col("last") > F.col("owner.doc_id")) & ((F.col("n") <= rare_df) | (2 * F.col("places") <= F.col("n"))))
+        .agg(F.sum("n").alias("n"), F.count("*").alias("places"), F.count("around").alias("short"), F.min("first").alias("owner"), F.max("last").alias("last"))
+        .where((F.col("last") > F.col("owner.doc_id")) & ((F.col("short") == 0) | (F.col("n") <= rare_df) | (2 * F.col("places") <= F.col("n"))))
         .select("line", "owner", salts)
     )
     salted = rows.select("doc_id", "h", "line", F.pmod("doc_id", F.lit(SALTS)).cast("int").alias("salt"))
@@ -134,9 +154,9 @@ def deletions(docs: DataFrame, min_words: int, rare_df: int, rare_words: int) ->
     """(doc_id, h, gone): the line numbers to delete, by document and hash of its text."""
     slim = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     # written after the deduplication, so that the joins below deal its rows anew and can split a hot owner
-    lines = stage(slim.mapInArrow(_lines, LINES).dropDuplicates(["doc_id", "h"]), "lines")
-    pairs = stage(overlapping(lines, rare_df, rare_words), "line-pairs")
-    mine = pairs.join(lines, ["doc_id", "h"])
+    lines = stage(slim.mapInArrow(_lines(min_words), LINES).dropDuplicates(["doc_id", "h"]), "lines")
+    pairs = stage(overlapping(lines, min_words, rare_df, rare_words), "line-pairs")
+    mine = pairs.join(lines.drop("runs"), ["doc_id", "h"])
     theirs = lines.select(F.col("doc_id").alias("o"), F.col("h").alias("oh"), F.col("lines").alias("theirs"))
     both = mine.join(theirs, (F.col("owner.doc_id") == F.col("o")) & (F.col("owner.h") == F.col("oh")))
     found = both.select("doc_id", "h", "lines", "at", "words", "theirs").mapInArrow(_align(min_words), "doc_id long, h long, gone array<int>")

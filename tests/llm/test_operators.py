@@ -103,6 +103,20 @@ def test_line_dedup(docs):
     assert set(got[5][0].asDict()) >= {"doc_id", "text", "lang", *CLASHES}
 
 
+def lines_kept(spark, texts, **options):
+    """What line dedup leaves of texts numbered from 1, each a list of lines."""
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts, 1)], "doc_id long, text string")
+    return [r.text.split("\n") if r.text else [] for r in line_dedup.line_dedup(df, **options).orderBy("doc_id").collect()]
+
+
+def test_line_dedup_of_frequent_passages(spark):
+    own = [[_text(9, 1000 + 2 * i), _text(9, 1001 + 2 * i)] for i in range(40)]
+    line, two, short = [_text(60, 900)], [_text(60, 901), _text(60, 902)], [_text(12, 903), _text(12, 904)]
+    for shared, n in ((line, 11), (two, 40), (short, 40)):
+        got = lines_kept(spark, [[a, *shared, b] for a, b in own[:n]])
+        assert got == [[own[0][0], *shared, own[0][1]], *own[1:n]]
+
+
 def test_secrets(docs):
     got = rows_by_id(secrets.digest(secrets.secrets(docs)))
     check_ids(got)
