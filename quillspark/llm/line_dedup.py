@@ -7,8 +7,10 @@ to be deleted alone also propose pairs if they are rare: few documents hold them
 the same neighbours.  Each document is paired with the *owners* of its runs and rare lines, the smallest
 documents that hold them; the number of pairs is at most three times that of the lines, however large a group
 is.  Each pair is aligned by patience diff over line hashes (lines that are unique in both
-anchor a longest increasing chain, the gaps are aligned in turn), and the aligned common blocks of
-`min_words` words or more are deleted from the later document.  Decisions are made on the input texts.
+anchor a longest increasing chain, the gaps are aligned in turn), and the aligned common blocks of `min_words` words or more are deleted from the later document.  What
+an alignment cannot hold, as it stands in another order or more often than in the owner, is looked up by its
+runs and deleted as well.  So a line goes exactly if it lies in a block of consecutive lines, blank ones aside,
+of `min_words` words or more that a document with a smaller id also holds.  Decisions are made on the input texts.
 
 Lines are split at \\n and compared without surrounding white space; blank lines are never compared and stay,
 but for those between two deleted lines.  Defined results: a null text stays null with no lines; a row with a
@@ -109,12 +111,21 @@ def common_blocks(matches: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
+def moved(later: list, earlier: list, words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of the later text that stand anywhere in the earlier one, in whatever order and however often."""
+    known = dict(zip(later, words, strict=True))
+    held = {tuple(earlier[i:j]) for i, j in runs([known.get(x, 1) for x in earlier], min_words)}
+    return [(i, j) for i, j in runs(words, min_words) if tuple(later[i:j]) in held]
+
+
 def deleted_lines(later: list, earlier: list, at: list[int], words: list[int], min_words: int) -> list[int]:
     """Line numbers of the later text that lie in common blocks, with the blank lines inside a block."""
+    blocks = [(i, i + n) for i, _, n in common_blocks(patience(later, earlier)) if sum(words[i : i + n]) >= min_words]
+    if blocks != [(0, len(later))]:
+        blocks += moved(later, earlier, words, min_words)
     out: list[int] = []
-    for i, _, n in common_blocks(patience(later, earlier)):
-        if sum(words[i : i + n]) >= min_words:
-            out += range(at[i], at[i + n - 1] + 1)
+    for i, j in sorted(blocks):
+        out += range(max(at[i], out[-1] + 1 if out else 0), at[j - 1] + 1)
     return out
 
 
@@ -160,7 +171,7 @@ def deletions(docs: DataFrame, min_words: int, rare_df: int, rare_words: int) ->
     theirs = lines.select(F.col("doc_id").alias("o"), F.col("h").alias("oh"), F.col("lines").alias("theirs"))
     both = mine.join(theirs, (F.col("owner.doc_id") == F.col("o")) & (F.col("owner.h") == F.col("oh")))
     found = both.select("doc_id", "h", "lines", "at", "words", "theirs").mapInArrow(_align(min_words), "doc_id long, h long, gone array<int>")
-    return found.groupBy("doc_id", "h").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    return found.groupBy("doc_id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = 20, rare_df: int = 10, rare_words: int = 4) -> DataFrame:
@@ -168,6 +179,11 @@ def line_dedup(docs: DataFrame, min_words: int = 20, rare_df: int = 10, rare_wor
     gone = deletions(docs, min_words, rare_df, rare_words).select(F.col("doc_id").alias("_qs_doc"), F.col("h").alias("_qs_h"), F.col("gone").alias("_qs_gone"))
     rows = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_qs_doc")) & (F.xxhash64("text") == F.col("_qs_h")), "left")
     lines = F.split("text", "\n", -1)
+    after = lambda x, i: F.get("_qs_gone", i + 1) - x - 1  # noqa: E731  lines up to the next that goes
+    blank = lambda x, i: F.forall(F.slice(lines, x + 2, after(x, i)), lambda line: ~line.rlike(r"[^\x20\x09-\x0D]"))
+    # blank lines between two that go, be it in blocks of different owners, go too
+    filled = F.flatten(F.transform("_qs_gone", lambda x, i: F.sequence(x, F.when(after(x, i).isNotNull() & blank(x, i), x + after(x, i)).otherwise(x))))
+    rows = rows.withColumn("_qs_gone", filled)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_qs_gone", i)), "\n")
     text = F.when(F.col("_qs_gone").isNull(), F.col("text")).otherwise(kept)
     return rows.select(

@@ -117,6 +117,26 @@ def test_line_dedup_of_frequent_passages(spark):
         assert got == [[own[0][0], *shared, own[0][1]], *own[1:n]]
 
 
+def test_line_dedup_of_reordered_passages(spark):
+    p = [[_text(25, 910 + 3 * k + i) for i in range(3)] for k in range(2)]
+    a, b, other = _text(12, 920), _text(12, 921), _text(30, 922)
+    assert lines_kept(spark, [[a, other, b], [a, b], ["x", a, b]]) == [[a, other, b], [a, b], ["x"]]
+    assert lines_kept(spark, [[*p[1], "x", *p[0]], ["y", *p[0], "", *p[1]], [*p[0], "", *p[1], "z"]])[1:] == [["y"], ["z"]]
+
+
+def test_line_dedup_is_exact(spark):
+    """Against brute force: a line goes if a window of lines with 20 words around it also stands in an earlier text."""
+    rng = np.random.default_rng(5)
+    pool = [_text(n, 950 + n) for n in (1, 2, 3, 5, 8, 12, 19, 20, 27)]
+    texts = [[pool[k] for k in rng.integers(0, len(pool), rng.integers(1, 14))] for _ in range(40)]
+    want = []
+    for d, t in enumerate(texts):
+        earlier = {tuple(u[i:j]) for u in texts[:d] for i in range(len(u)) for j in range(i + 1, len(u) + 1)}
+        gone = {k for i in range(len(t)) for j in range(i + 1, len(t) + 1) if len(" ".join(t[i:j]).split()) >= 20 and tuple(t[i:j]) in earlier for k in range(i, j)}
+        want.append([x for k, x in enumerate(t) if k not in gone])
+    assert lines_kept(spark, texts) == want
+
+
 def test_secrets(docs):
     got = rows_by_id(secrets.digest(secrets.secrets(docs)))
     check_ids(got)
