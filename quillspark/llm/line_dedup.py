@@ -7,7 +7,8 @@ to be deleted alone also propose pairs if they are rare: few documents hold them
 the same neighbours.  Each document is paired with the *owners* of its runs and rare lines, the smallest
 documents that hold them; the number of pairs is at most three times that of the lines, however large a group
 is.  Each pair is aligned by patience diff over line hashes (lines that are unique in both
-anchor a longest increasing chain, the gaps are aligned in turn), and the aligned common blocks of `min_words` words or more are deleted from the later document.  What
+anchor a longest increasing chain, the gaps are aligned in turn; in a gap without such lines, equal lines are
+numbered), and the aligned common blocks of `min_words` words or more are deleted from the later document.  What
 an alignment cannot hold, as it stands in another order or more often than in the owner, is looked up by its
 runs and deleted as well.  So a line goes exactly if it lies in a block of consecutive lines, blank ones aside,
 of `min_words` words or more that a document with a smaller id also holds.  Decisions are made on the input texts.
@@ -63,6 +64,16 @@ def _lines(min_words: int):
     return run
 
 
+def numbered(lines: list) -> list[tuple]:
+    """Each line with the number of equal ones before it."""
+    seen: Counter = Counter()
+    out = []
+    for x in lines:
+        out.append((x, seen[x]))
+        seen[x] += 1
+    return out
+
+
 def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Aligned positions of two sequences, increasing in both."""
     out, todo = [], [(0, len(a), 0, len(b))]
@@ -79,6 +90,10 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
         once_a, once_b = Counter(a[i0:i1]), Counter(b[j0:j1])
         where = {x: j for j, x in enumerate(b[j0:j1], j0) if once_b[x] == 1}
         both = [(i, where[x]) for i, x in enumerate(a[i0:i1], i0) if once_a[x] == 1 and x in where]
+        if not both:
+            # no line is unique on both sides: the k-th of equal lines stands for the k-th of the other side
+            where = {x: j for j, x in enumerate(numbered(b[j0:j1]), j0)}
+            both = [(i, where[x]) for i, x in enumerate(numbered(a[i0:i1]), i0) if x in where]
         if not both:
             continue
         tails, ends, back = [], [], [-1] * len(both)

@@ -124,6 +124,13 @@ def test_line_dedup_of_reordered_passages(spark):
     assert lines_kept(spark, [[*p[1], "x", *p[0]], ["y", *p[0], "", *p[1]], [*p[0], "", *p[1], "z"]])[1:] == [["y"], ["z"]]
 
 
+def test_line_dedup_of_repeated_passages(spark):
+    p = [_text(6, 930 + i) for i in range(40)]
+    assert lines_kept(spark, [["a", *p, "b"], ["x", *p, "y", *p, "z"]])[1] == ["x", "y", "z"]
+    assert lines_kept(spark, [["a", *p, "c", *p, "b"], ["x", *p, "y"]])[1] == ["x", "y"]
+    assert len(line_dedup.patience(["x", *p, "y", *p, "z"], ["a", *p, "b"])) == 40
+
+
 def test_line_dedup_is_exact(spark):
     """Against brute force: a line goes if a window of lines with 20 words around it also stands in an earlier text."""
     rng = np.random.default_rng(5)
