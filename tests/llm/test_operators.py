@@ -131,6 +131,11 @@ def test_line_dedup_of_repeated_passages(spark):
     assert len(line_dedup.patience(["x", *p, "y", *p, "z"], ["a", *p, "b"])) == 40
 
 
+def test_line_dedup_of_short_lines(spark):
+    verse = [_text(1 + i % 3, 940 + i) for i in range(200)]
+    assert lines_kept(spark, [["a", *verse, "b"], ["c", *verse[50:150], "d"], verse])[1:] == [["c", "d"], []]
+
+
 def test_line_dedup_is_exact(spark):
     """Against brute force: a line goes if a window of lines with 20 words around it also stands in an earlier text."""
     rng = np.random.default_rng(5)
