@@ -192,6 +192,11 @@ def _word_prints(seeds: tuple[int, ...]):
     return run
 
 
+def prefix_size(n: int, similarity: float) -> int:
+    """Of two sets with this similarity or more, the first hashes, so many of a set of n, share one (in any common order)."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
+
+
 class Leaders:
     """The kept documents of one component. A document follows a leader if their shingle sets are similar enough."""
 
@@ -203,7 +208,7 @@ class Leaders:
     def follow(self, hashes: np.ndarray) -> bool:
         """False if the document becomes a leader itself. Similar sets share one of their first hashes (prefix filter)."""
         s = np.unique(hashes)
-        prefix = s[: len(s) - int(np.ceil(self.similarity * len(s) - 1e-9)) + 1].tolist()
+        prefix = s[: prefix_size(len(s), self.similarity)].tolist()
         for k in sorted({k for x in prefix for k in self.index.get(x, ())}):
             t = self.sets[k]
             if min(len(s), len(t)) >= self.similarity * max(len(s), len(t)):
@@ -232,14 +237,123 @@ def _lead(shingle: int, similarity: float):
     return run
 
 
+#: The most frequent shingles, at most so many, come last in the order of prefixes. Any order finds all pairs.
+FREQUENT = 1 << 17
+
+
+def _shingles(shingle: int):
+    def run(batches):
+        for batch in batches:
+            for text in binary_column(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, shingle)).view(np.int64))], ["s"])
+
+    return run
+
+
+def frequent_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles that eight or more of one in 16 texts hold, the most frequent first."""
+    some = texts.where(F.pmod(F.col("h"), F.lit(16)) == 0).select("text").mapInArrow(_shingles(shingle), "s long")
+    top = some.groupBy("s").agg(F.count("*").alias("n")).where("n >= 8").orderBy(F.col("n").desc(), "s").limit(FREQUENT)
+    return np.array([r.s for r in top.collect()], np.int64).view(np.uint64)
+
+
+def _prefixes(shingle: int, similarity: float, buckets: int, frequent):
+    def run(batches):
+        last = frequent.value
+        by = np.argsort(last)
+        ordered_last = last[by]
+        for batch in batches:
+            keys, sizes, hs = [], [], []
+            for h, fresh, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary_column(batch.column(2)), strict=True):
+                s = np.unique(shingle_hashes(text, shingle))
+                if not len(s):
+                    continue
+                n = prefix_size(len(s), similarity)
+                if len(last):
+                    at = np.minimum(np.searchsorted(ordered_last, s), len(last) - 1)
+                    hot = ordered_last[at] == s
+                    s = np.concatenate((s[~hot], last[np.sort(by[at[hot]])[::-1]]))
+                keys.append(s[:n])
+                sizes.append(np.full(n, 2 * len(s) + fresh, np.uint64))
+                hs.append(np.full(n, h, np.int64))
+            if not keys:
+                continue
+            key, size, h = np.concatenate(keys), np.concatenate(sizes), np.concatenate(hs)
+            bucket = ((key >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
+            order = np.argsort(bucket, kind="stable")
+            begin = first_per_value(bucket[order])
+            blobs = [pack(key[o], size[o].astype(np.uint32).view(np.int32), h[o]) for o in np.split(order, begin[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][begin].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+    return run
+
+
+def _sharing(similarity: float):
+    """Pairs of texts that share a prefix shingle, of sizes that allow the similarity, at least one of them fresh."""
+
+    def run(batches):
+        parts = [unpack(blob.as_buffer().to_pybytes()) for batch in batches for blob in batch.column(1)]
+        if not parts:
+            return
+        key, size, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.argsort(key, kind="stable")
+        key, size, h = key[order], size[order], h[order]
+        n, fresh = size >> 1, (size & 1).astype(bool)
+        for i, j in close_pairs(key, np.zeros(len(key), np.uint64), 0):
+            ok = (fresh[i] | fresh[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (h[i] != h[j])
+            a, b = h[i[ok]], h[j[ok]]
+            if len(a):
+                both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    return run
+
+
+def _similar(shingle: int, similarity: float):
+    def run(batches):
+        for batch in batches:
+            u, v = [], []
+            for x, y, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary_column(batch.column(2)), binary_column(batch.column(3)), strict=True):
+                s, t = np.unique(shingle_hashes(s, shingle)), np.unique(shingle_hashes(t, shingle))
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if both >= similarity * (len(s) + len(t) - both):
+                    u.append(x)
+                    v.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def similar_pairs(texts: DataFrame, shingle: int, similarity: float, parts: int) -> DataFrame:
+    """(u, v): ids of all pairs of `texts` (node, h, fresh, text; h is unique) with this similarity or more, one of them fresh."""
+    frequent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts, shingle))
+    packed = texts.select("h", F.col("fresh").cast("int"), "text").mapInArrow(_prefixes(shingle, similarity, min(4 * parts, 1 << 16), frequent), "bucket int, blob binary")
+    pairs = stage(packed.repartition(parts, "bucket").mapInArrow(_sharing(similarity), "a long, b long").distinct(), "near-pairs")
+    one = texts.select(F.col("h").alias("a"), F.col("node").alias("u"), F.col("text").alias("s"))
+    two = texts.select(F.col("h").alias("b"), F.col("node").alias("v"), F.col("text").alias("t"))
+    return pairs.join(one, "a").join(two, "b").select("u", "v", "s", "t").mapInArrow(_similar(shingle, similarity), "u long, v long")
+
+
+def _leave(rows: DataFrame, nodes: DataFrame, roots: DataFrame, shingle: int, similarity: float, parts: int) -> DataFrame:
+    """(doc_id, h) of the documents that go from the components `roots` (node, root)."""
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "h"), "node")
+    texts = rows.join(members.select(F.col("node").alias("n_"), F.col("h").alias("h_"), "root"), (F.col("doc_id") == F.col("n_")) & (F.col("h") == F.col("h_")))
+    texts = texts.select("root", "doc_id", "h", "text").dropDuplicates(["doc_id", "h"]).repartition(parts, "root").sortWithinPartitions("root", "doc_id", "h")
+    return stage(texts.mapInArrow(_lead(shingle, similarity), "doc_id long, h long"), "simhash-gone")
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 7, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
     """The rows of `docs` without those that repeat an earlier document's text or nearly so.
 
     A fingerprint of word shingles moves too far at a similarity of 0.8 (about 10 of 64 bits), one of the set of
     words moves less (about 5), so candidates are linked by the deletion variants of one such fingerprint for each
     seed.  In each component, by growing id, a document goes if the exact Jaccard similarity of its `shingle`-word
-    sets to a document that stays is `similarity` or more; so every document that goes has its like among those that
-    stay.  Rows with a null id stay; rows that repeat both id and text stay or go together.
+    sets to a document that stays is `similarity` or more.  Fingerprints miss pairs, so those that stay are then
+    compared exactly: texts that share a shingle of their prefixes (frequent shingles last) are verified, components
+    are joined by the pairs found and gone through again, until none that stay are similar.  The result is that of
+    going through all documents by growing id: every document that goes has its like, with a smaller id, among
+    those that stay, and no two that stay are alike.  Rows with a null id stay; rows that repeat both id and text stay or go together.
     """
     parts = n_parts(docs)
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
@@ -249,11 +363,28 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     packed = nodes.select(*fps, "node").mapInArrow(_variants(radius, min(4 * parts, 1 << 16)), "bucket int, blob binary")
     links = packed.repartition(parts, "bucket").mapInArrow(_links(radius), "u long, v long")
     roots = components(links, "simhash-near")
-    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "h"), "node")
-    texts = rows.join(members.select(F.col("node").alias("n_"), F.col("h").alias("h_"), "root"), (F.col("doc_id") == F.col("n_")) & (F.col("h") == F.col("h_")))
-    texts = texts.select("root", "doc_id", "h", "text").repartition(parts, "root").sortWithinPartitions("root", "doc_id")
-    gone = stage(texts.mapInArrow(_lead(shingle, similarity), "doc_id long, h long"), "simhash-gone")
-    kept = nodes.select(F.col("node").alias("doc_id"), "h").join(gone, ["doc_id", "h"], "left_anti").select(F.col("doc_id").alias("_qs_doc"), F.col("h").alias("_qs_h"))
+    gone = _leave(rows, nodes, roots, shingle, similarity, parts)
+    before = None
+    while True:
+        kept = stage(nodes.select(F.col("node").alias("doc_id"), "h").join(gone, ["doc_id", "h"], "left_anti"), "simhash-kept")
+        flags = kept.withColumn("fresh", F.lit(True))
+        if before is not None:
+            fresh = kept.join(before, ["doc_id", "h"], "left_anti")
+            if fresh.isEmpty():
+                break
+            flags = kept.join(fresh.withColumn("fresh", F.lit(True)), ["doc_id", "h"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+        texts = rows.dropDuplicates(["doc_id", "h"]).join(flags, ["doc_id", "h"]).select(F.col("doc_id").alias("node"), "h", "fresh", "text")
+        more = stage(similar_pairs(stage(texts, "simhash-texts"), shingle, similarity, parts).where("u <> v"), "simhash-more")
+        if more.isEmpty():
+            break
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), "simhash-near")
+        # only components with a new link are gone through again
+        grown = roots.join(more.select(F.greatest("u", "v").alias("node")), "node", "left_semi").select("root").distinct()
+        again = stage(roots.join(grown, "root", "left_semi").select("node", "root"), "simhash-grown")
+        inside = again.select(F.col("node").alias("doc_id")).unionByName(again.select(F.col("root").alias("doc_id"))).distinct()
+        gone = stage(gone.join(inside, "doc_id", "left_anti").unionByName(_leave(rows, nodes, again, shingle, similarity, parts)), "simhash-gone")
+        before = kept
+    kept = kept.select(F.col("doc_id").alias("_qs_doc"), F.col("h").alias("_qs_h"))
     whole = docs.join(kept, (docs["doc_id"].cast("long") == F.col("_qs_doc")) & (F.xxhash64(docs["text"]) == F.col("_qs_h")), "left_semi")
     return whole.unionByName(docs.where(F.col("doc_id").isNull()))
 

@@ -226,6 +226,33 @@ def test_near_duplicates(docs):
     assert 5 in ids and None in ids and 8 in ids
 
 
+def shingles_of(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_kept(texts):
+    """Ids of (id, text) pairs that stay, by comparing all."""
+    stay = []
+    for i, t in sorted(texts):
+        s = shingles_of(t)
+        if not any(s and len(s & u) >= 0.8 * len(s | u) for _, u in stay):
+            stay.append((i, s))
+    return {i for i, _ in stay}
+
+
+def test_near_duplicates_of_contiguous_edits(spark):
+    texts = []
+    for k in range(60):
+        w, other = _text(200, 2000 + k).split(), _text(40, 3000 + k).split()
+        n = (10, 16, 18, 20)[k % 4]
+        edits = [w, w[:60] + other[:n] + w[60 + n :], w + other[: 2 * n], w[: 200 - 2 * n], w[2 * n :]]
+        texts += [(10 * k + j, " ".join(e)) for j, e in enumerate(edits)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id for r in simhash_dedup.drop_near_duplicates(df).collect()}
+    assert got == near_kept(texts)
+
+
 def test_decontaminate(spark, docs):
     items = spark.createDataFrame([(1, PASSAGE), (2, None), (3, "too short"), (4, _text(40, 99)), (5, LINES.replace("\n", " "))], "item_id long, text string").withColumn("h", F.lit(1))
     found = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(docs, items).collect()}
