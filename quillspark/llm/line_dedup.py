@@ -147,13 +147,15 @@ def deleted_lines(later: list, earlier: list, at: list[int], words: list[int], m
 def _align(min_words: int):
     def run(batches):
         for batch in batches:
-            docs, hs, gone = [], [], []
+            docs, hs, ats, gone = [], [], [], []
             for doc, h, a, at, words, b in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if found := deleted_lines(a, b, at, words, min_words):
                     docs.append(doc)
                     hs.append(h)
-                    gone.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hs, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "h", "gone"])
+                    ats.append(at)
+                    place = {x: k for k, x in enumerate(at)}
+                    gone.append([place[x] for x in found if x in place])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hs, pa.int64()), pa.array(ats, pa.list_(pa.int32())), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "h", "at", "gone"])
 
     return run
 
@@ -185,8 +187,11 @@ def deletions(docs: DataFrame, min_words: int, rare_df: int, rare_words: int) ->
     mine = pairs.join(lines.drop("runs"), ["doc_id", "h"])
     theirs = lines.select(F.col("doc_id").alias("o"), F.col("h").alias("oh"), F.col("lines").alias("theirs"))
     both = mine.join(theirs, (F.col("owner.doc_id") == F.col("o")) & (F.col("owner.h") == F.col("oh")))
-    found = both.select("doc_id", "h", "lines", "at", "words", "theirs").mapInArrow(_align(min_words), "doc_id long, h long, gone array<int>")
-    return found.groupBy("doc_id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    found = both.select("doc_id", "h", "lines", "at", "words", "theirs").mapInArrow(_align(min_words), "doc_id long, h long, at array<int>, gone array<int>")
+    places = found.groupBy("doc_id", "h").agg(F.first("at").alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("k"))
+    # blank lines between two that go, be it in blocks of different owners, go too
+    last = lambda x, i: F.when(F.get("k", i + 1) == x + 1, F.get("at", x + 1) - 1).otherwise(F.get("at", x))
+    return places.select("doc_id", "h", F.flatten(F.transform("k", lambda x, i: F.sequence(F.get("at", x), last(x, i)))).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = 20, rare_df: int = 10, rare_words: int = 4) -> DataFrame:
@@ -194,11 +199,6 @@ def line_dedup(docs: DataFrame, min_words: int = 20, rare_df: int = 10, rare_wor
     gone = deletions(docs, min_words, rare_df, rare_words).select(F.col("doc_id").alias("_qs_doc"), F.col("h").alias("_qs_h"), F.col("gone").alias("_qs_gone"))
     rows = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_qs_doc")) & (F.xxhash64("text") == F.col("_qs_h")), "left")
     lines = F.split("text", "\n", -1)
-    after = lambda x, i: F.get("_qs_gone", i + 1) - x - 1  # noqa: E731  lines up to the next that goes
-    blank = lambda x, i: F.forall(F.slice(lines, x + 2, after(x, i)), lambda line: ~line.rlike(r"[^\x20\x09-\x0D]"))
-    # blank lines between two that go, be it in blocks of different owners, go too
-    filled = F.flatten(F.transform("_qs_gone", lambda x, i: F.sequence(x, F.when(after(x, i).isNotNull() & blank(x, i), x + after(x, i)).otherwise(x))))
-    rows = rows.withColumn("_qs_gone", filled)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_qs_gone", i)), "\n")
     text = F.when(F.col("_qs_gone").isNull(), F.col("text")).otherwise(kept)
     return rows.select(
