@@ -268,7 +268,7 @@ def _prefixes(shingle: int, similarity: float, buckets: int, frequent):
                 s = np.unique(shingle_hashes(text, shingle))
                 if not len(s):
                     continue
-                n = prefix_size(len(s), similarity)
+                n = min(len(s), prefix_size(len(s), similarity) + len(s) // 10)
                 if len(last):
                     at = np.minimum(np.searchsorted(ordered_last, s), len(last) - 1)
                     hot = ordered_last[at] == s
@@ -289,7 +289,11 @@ def _prefixes(shingle: int, similarity: float, buckets: int, frequent):
 
 
 def _sharing(similarity: float):
-    """Pairs of texts that share a prefix shingle, of sizes that allow the similarity, at least one of them fresh."""
+    """Pairs of texts with shared prefix shingles, of sizes that allow the similarity, at least one of them fresh.
+
+    `n` counts the shared ones here. A prefix is longer than `prefix_size` by a tenth of its set, so similar sets share
+    `need` or more, one and a tenth of the smaller set.
+    """
 
     def run(batches):
         parts = [unpack(blob.as_buffer().to_pybytes()) for batch in batches for blob in batch.column(1)]
@@ -302,10 +306,10 @@ def _sharing(similarity: float):
         n, fresh = size >> 1, (size & 1).astype(bool)
         for i, j in close_pairs(key, np.zeros(len(key), np.uint64), 0):
             ok = (fresh[i] | fresh[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (h[i] != h[j])
-            a, b = h[i[ok]], h[j[ok]]
+            a, b, least = h[i[ok]], h[j[ok]], np.minimum(n[i[ok]], n[j[ok]])
             if len(a):
-                both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                rows, times = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b), 1 + least // 10)), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(times)], ["a", "b", "need", "n"])
 
     return run
 
@@ -329,7 +333,8 @@ def similar_pairs(texts: DataFrame, shingle: int, similarity: float, parts: int)
     """(u, v): ids of all pairs of `texts` (node, h, fresh, text; h is unique) with this similarity or more, one of them fresh."""
     frequent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts, shingle))
     packed = texts.select("h", F.col("fresh").cast("int"), "text").mapInArrow(_prefixes(shingle, similarity, min(4 * parts, 1 << 16), frequent), "bucket int, blob binary")
-    pairs = stage(packed.repartition(parts, "bucket").mapInArrow(_sharing(similarity), "a long, b long").distinct(), "near-pairs")
+    pairs = stage(packed.repartition(parts, "bucket").mapInArrow(_sharing(similarity), "a long, b long, need long, n long").groupBy("a", "b", "need").agg(F.sum("n").alias("n")).where("n >= need").select("a", "b"), "near-pairs")
+    texts = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h", "left_semi")
     one = texts.select(F.col("h").alias("a"), F.col("node").alias("u"), F.col("text").alias("s"))
     two = texts.select(F.col("h").alias("b"), F.col("node").alias("v"), F.col("text").alias("t"))
     return pairs.join(one, "a").join(two, "b").select("u", "v", "s", "t").mapInArrow(_similar(shingle, similarity), "u long, v long")
