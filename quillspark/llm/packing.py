@@ -9,14 +9,17 @@ pieces are laid end to end and cut at `length`; the tail is cut at powers of two
 Nothing moves between tasks, and a lost task is repeated with the same result: sequence ids combine the
 partition's number with a counter.  Memory is bounded by the open windows and one document.
 
-Tokens: the text is split at ASCII white space, where the vocabulary's own rules also split and which they
-drop, so words can be tokenised once and remembered.  Defined results: a null text is empty and gives only
+Tokens: where the vocabulary's rules are known to split at white space and to drop it, a text is split there
+first, so words can be tokenised once and remembered; with any other rules whole texts are tokenised.  Defined results: a null text is empty and gives only
 the end id; ids are passed on as they are, null or repeated; an empty table gives an empty result; further
 columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,22 +30,22 @@ from quillspark.llm._blocks import binary_column
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _MOST_WORDS = 1 << 20
-#: Below it every letter is its own composed form and has a one-letter lower case, but for U+0130.
-_PLAIN_BELOW = "\u0250"
-
-
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one past 255."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    more = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(more)) for b in range(256)]
+#: The rules under which words can be tokenised one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 class WordIds(dict):
     """The ids of each word, as little-endian unsigned 32-bit values, remembered up to a bound.
 
-    A word of plain letters goes straight to the vocabulary's model, which is what its pre-tokeniser would hand
-    on; a full stop or comma behind a letter is a token of its own; all other words take the whole way.
+    A word of ASCII letters goes, in lower case, straight to the vocabulary's model, which is what its rules would
+    hand on; behind an ASCII letter a full stop or comma is a token of its own; all other words take the whole way.
     """
 
     def __init__(self, path: str):
@@ -51,26 +54,29 @@ class WordIds(dict):
         super().__init__()
         tokenizer = Tokenizer.from_file(path)
         self.encode, self.model = tokenizer.encode, tokenizer.model.tokenize
-        self.letters = byte_letters()
+        rules = json.loads(tokenizer.to_str())
+        marked = all(re.search(r"[^A-Za-z.,]", t["content"]) and not (re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"]) for t in rules["added_tokens"])
+        self.by_word = marked and rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == _PRE_TOKENIZER and rules["post_processor"] is None
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= _MOST_WORDS:
             self.clear()
-        text = word.decode()
-        if text.isalpha() and max(text) < _PLAIN_BELOW and "\u0130" not in text:
-            low = text.lower()
-            if low.isascii():
-                got = [t.id for t in self.model(low)]
-            else:
-                got = [t.id for t in self.model("".join([self.letters[b] for b in low.encode()]))]
-            ids = np.asarray(got, "<u4").tobytes()
-        elif len(text) > 1 and text[-1] in ".," and text[-2].isalpha():
-            ids = self[text[:-1].encode()] + self[text[-1].encode()]
+        if word.isalpha():  # bytes: ASCII letters only
+            ids = np.asarray([t.id for t in self.model(word.lower().decode())], "<u4").tobytes()
+        elif word[-1:] in (b".", b",") and word[-2:-1].isalpha() and word.isascii():
+            ids = self[word[:-1]] + self[word[-1:]]
         else:
-            ids = np.asarray(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self.whole(word)
         self[word] = ids
         return ids
 
+    def whole(self, text: bytes) -> bytes:
+        return np.asarray(self.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def of(self, text: bytes) -> bytes:
+        """The ids of a whole text."""
+        return b"".join([self[w] for w in text.split()]) if self.by_word else self.whole(text)
+
 
 _LOADED: dict[str, WordIds] = {}
 
@@ -150,7 +156,7 @@ def _pack(path: str, end_id: int, length: int, open_windows: int):
         packer = Packer(length, open_windows, TaskContext.get().partitionId() << 33)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), binary_column(batch.column(1)), strict=True):
-                packer.place(doc, b"".join([ids_of[w] for w in text.split()]) + end)
+                packer.place(doc, ids_of.of(text) + end)
                 if len(packer.out) >= 2000:
                     yield batch_of(packer.out)
                     packer.out = []
@@ -164,7 +170,7 @@ def _pack(path: str, end_id: int, length: int, open_windows: int):
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = 4096, open_windows: int = 16, end_id: int = 2) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    `tokenizer` is the path of a vocabulary file that splits at white space, present on every worker.
+    `tokenizer` is the path of a vocabulary file, present on every worker.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack(tokenizer, end_id, length, open_windows), SCHEMA)
 

@@ -5,6 +5,7 @@ checksum or a context word: `iban` (mod-97), `ssn` (3-2-4 digits beside a word s
 `local_phone` (digits without a plus sign beside a word such as "call").  A span's score starts from its
 kind's prior; a context word within `CONTEXT` characters before it raises the score, a word such as
 "example" lowers it.  A further span is reported from `MIN_SCORE` on, if no base span covers part of it.
+Each span tells whether a checksum confirmed it.  Letters, digits and word ends are ASCII ones.
 
 Every pattern is scanned in time linear in the text: runs are possessive, and a run is only entered at its
 beginning.  Defined results: a null text is empty; ids are passed on as they are, null or repeated; an empty
@@ -13,6 +14,7 @@ table gives an empty result; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pyarrow as pa
@@ -21,31 +23,44 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local_phone")
 BASE = KINDS[:4]
+CHECKSUM = ("card", "iban")
 CONTEXT = 40
-MIN_SCORE = 0.5
+MIN_SCORE = 50
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_LOCAL_PHONE = re.compile(r"(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])")
+IBAN = r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b"
+#: a whole run of digits and hyphens
+SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
+LOCAL_PHONE = r"\(?\b[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}\b"
+_IBAN = re.compile(IBAN, re.A)
+_SSN = re.compile(f"(?<![0-9-]){SSN}(?![0-9-])")
+_LOCAL_PHONE = re.compile(LOCAL_PHONE, re.A)
 _DIGIT = re.compile(r"[0-9]")
-_PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3, "local_phone": 0.3}
-_NEAR = {
-    "email": re.compile(r"(?i)\b(?:e-?mail|contact|write)\b"),
-    "ip": re.compile(r"(?i)\b(?:ip|address|host|server|login)\b"),
-    "card": re.compile(r"(?i)\b(?:card|visa|mastercard|amex|credit|payment)\b"),
-    "phone": re.compile(r"(?i)\b(?:phone|tel|call|mobile|fax)\b"),
-    "iban": re.compile(r"(?i)\b(?:iban|account|bank|transfer)\b"),
-    "ssn": re.compile(r"(?i)\b(?:ssn|social|security)\b"),
-    "local_phone": re.compile(r"(?i)\b(?:phone|tel|call|mobile|fax)\b"),
+#: scores, in hundredths: each kind's prior, what a context word adds, what a word of examples takes off
+PRIOR = {"email": 90, "ip": 60, "card": 80, "phone": 70, "iban": 80, "ssn": 30, "local_phone": 30}
+RAISE, LOWER = 30, 25
+NEAR = {
+    "email": r"(?i)\b(?:e-?mail|contact|write)\b",
+    "ip": r"(?i)\b(?:ip|address|host|server|login)\b",
+    "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|payment)\b",
+    "phone": r"(?i)\b(?:phone|tel|call|mobile|fax)\b",
+    "iban": r"(?i)\b(?:iban|account|bank|transfer)\b",
+    "ssn": r"(?i)\b(?:ssn|social|security)\b",
+    "local_phone": r"(?i)\b(?:phone|tel|call|mobile|fax)\b",
 }
-_FAKE = re.compile(r"(?i)\b(?:example|sample|dummy|fake|test)\b")
+FAKE = r"(?i)\b(?:example|sample|dummy|fake|test)\b"
+_NEAR = {k: re.compile(p, re.A) for k, p in NEAR.items()}
+_FAKE = re.compile(FAKE, re.A)
 
-SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
-SPAN_SQL = "array<struct<kind: string, start: int, end: int, score: double>>"
+SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("confirmed", pa.bool_())])
+SPAN_SQL = "array<struct<kind: string, start: int, end: int, score: double, confirmed: boolean>>"
+
+
+#: What may not stand before a phone number without country code.
+_BEFORE = tuple("0123456789+(-")
 
 
 def luhn(digits: str) -> bool:
@@ -86,7 +101,8 @@ def base_spans(text: str):
     if not _DIGIT.search(text):
         return
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        parts = [p.lstrip("0") for p in m[0].split(".")]  # a part may have thousands of digits
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):
             yield "ip", m.start(), m.end()
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
@@ -112,27 +128,38 @@ def _extra(text: str):
         for m in _SSN.finditer(text):
             yield "ssn", m.start(), m.end()
     for m in _LOCAL_PHONE.finditer(text):
-        yield "local_phone", m.start(), m.end()
+        if text[m.start() - 1 : m.start()] not in _BEFORE and text[m.end() : m.end() + 1] != "-":
+            yield "local_phone", m.start(), m.end()
 
 
 def score(text: str, kind: str, start: int) -> float:
     around = text[max(0, start - CONTEXT) : start]
-    s = _PRIOR[kind]
-    if _NEAR[kind].search(around):
-        s += 0.3
-    if _FAKE.search(around):
-        s -= 0.25
-    return round(min(1.0, max(0.0, s)), 4)
+    s = PRIOR[kind] + (RAISE if _NEAR[kind].search(around) else 0) - (LOWER if _FAKE.search(around) else 0)
+    return min(100, max(0, s)) / 100
+
+
+def merged(spans) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of sorted spans."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in spans:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
 def find_pii(text: str) -> list[dict]:
     """All spans of a text, by kind as listed, then start; code points, end exclusive."""
-    out = [{"kind": k, "start": a, "end": b, "score": score(text, k, a)} for k, a, b in base_spans(text)]
+    out = [{"kind": k, "start": a, "end": b, "score": score(text, k, a), "confirmed": k in CHECKSUM} for k, a, b in base_spans(text)]
     if _DIGIT.search(text):
-        taken = sorted((s["start"], s["end"]) for s in out)
+        starts, ends = merged(sorted((s["start"], s["end"]) for s in out))
         for k, a, b in _extra(text):
-            if (s := score(text, k, a)) >= MIN_SCORE and not any(a < y and x < b for x, y in taken):
-                out.append({"kind": k, "start": a, "end": b, "score": s})
+            i = bisect.bisect_right(ends, a)  # the first taken stretch that ends behind the span's start
+            if (i == len(ends) or starts[i] >= b) and (s := score(text, k, a)) * 100 >= MIN_SCORE:
+                out.append({"kind": k, "start": a, "end": b, "score": s, "confirmed": k in CHECKSUM})
     return out
 
 
@@ -155,6 +182,16 @@ def joined(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
+    """The base kinds' numbers and hash, all spans, their number, their scores in hundredths, and how many a checksum confirmed."""
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+    return found.select(
+        "doc_id",
+        *(count(k) for k in BASE),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
+        scores.alias("scores"),
+        F.size(F.filter("spans", lambda s: s["confirmed"])).cast("long").alias("n_confirmed"),
+    )

@@ -40,7 +40,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import secrets as op
 
-    return op.digest(op.secrets(_table(spark, sf_dir, "documents"), repository="source", owner="source"))
+    # a source is an owner, its texts of one language are a repository
+    return op.digest(op.secrets(_table(spark, sf_dir, "documents"), repository=F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))), owner="source"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,7 +107,7 @@ def base_pii(text):
     for kind, p in BASE_PII.items():
         for m in p.finditer(text):
             digits = re.sub("[^0-9]", "", m[0])
-            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+            if kind == "ip" and any(int(x.lstrip("0")[:4] or 0) > 255 for x in m[0].split(".")):
                 continue
             if kind == "card" and not (13 <= len(digits) <= 19 and pii.luhn(digits)):
                 continue
@@ -130,11 +130,49 @@ def test_pii_validators():
     assert pii.find_pii("") == []
 
 
-@pytest.mark.parametrize("text", ["1" * 200_000, "a." * 100_000 + "@", "@" * 200_000, "+" + "1 " * 100_000, "a@" + "b-" * 100_000])
+@pytest.mark.parametrize("text", ["1" * 200_000, "a." * 100_000 + "@", "@" * 200_000, "+" + "1 " * 100_000, "a@" + "b-" * 100_000, "1.2.3.4 212 555 0100 " * 20_000])
 def test_pii_is_linear(text):
     pii.find_pii(text)
 
 
+@pytest.mark.parametrize("text", ["0" * 5000 + "1.2.3.4", "1.2.3." + "9" * 5000, "1.2.3." + "0" * 5000, "1." + "0" * 4999 + "256.1.1"])
+def test_pii_of_very_long_numbers(text):
+    assert list(pii.base_spans(text)) == list(base_pii(text))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["1.2.3.4", "212 555 0100", " call ", "123-45-6789", "ssn ", " ", "+1 (858) 555-2128", "example "]), max_size=8).map("".join))
+def test_pii_further_spans_avoid_base_spans(text):
+    found = pii.find_pii(text)
+    taken = [(s["start"], s["end"]) for s in found if s["kind"] in pii.BASE]
+    for k, a, b in pii._extra(text):
+        free = not any(a < y and x < b for x, y in taken)
+        assert (free and pii.score(text, k, a) >= 0.5) == any((s["kind"], s["start"], s["end"]) == (k, a, b) for s in found)
+
+
+def test_word_ids_of_all_letters():
+    """Each code point beside a full stop, a comma and a letter, against the vocabulary on the whole text."""
+    names = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    ids = packing.WordIds(names.path("word_bpe_49k.json"))
+    assert ids.by_word
+    texts = [x for c in map(chr, (*range(0x21, 0xD800), *range(0xE000, 0x30000))) for x in (f"{c}.", f"{c},", f"a{c}.", f"{c}a b{c} ")]
+    texts += ["don't.", "Hello,World.", "<|endoftext|>a.", "x<|endoftext|>, y", "a\u0301b \u0301.", "'s.", " ", ""]
+    for got, want in zip(texts, Tokenizer.from_file(names.path("word_bpe_49k.json")).encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids.of(got.encode()), "<u4").tolist() == want.ids, got
+
+
+def test_word_ids_of_another_vocabulary():
+    names = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    ids, whole = packing.WordIds(names.path("byte_bpe_50k.json")), Tokenizer.from_file(names.path("byte_bpe_50k.json"))
+    assert not ids.by_word
+    for text in ("Two  Words.\n\nMore, of them", "", " "):
+        assert np.frombuffer(ids.of(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b", "c", "é"]), max_size=60), st.sampled_from([" ", "\n", "\t", "\x0b"]))
 def test_repeated_words(ws, sep):

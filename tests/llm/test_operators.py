@@ -168,6 +168,33 @@ def test_secrets(docs):
     assert got[5][0].n_live == 1 and got[15][0].spans == ""
 
 
+def test_secrets_of_owners(spark):
+    key = lambda i: "-----BEGIN RSA PRIVATE KEY-----\nMIIE" + f"{i}xyz" * 20 + "\n-----END RSA PRIVATE KEY-----"
+    rows = [(i, f"o{i}", f"o{i}/r", "x " + key(i)) for i in range(4)]  # four keys of four owners
+    rows += [(10 + i, f"o{i}", f"o{i}/r", key(9)) for i in range(3)]  # one key of three owners
+    rows += [(20 + i, "me", f"me/{i}", "token=abc123def456") for i in range(8)]  # one owner's own
+    rows += [(30 + i, f"two{i % 2}", f"two{i % 2}/{i}", "token=zyx987uvw654") for i in range(6)]  # two owners, six repositories
+    rows += [(40, "a", "a/r", "-----BEGIN PRIVATE KEY-----"), (41, None, None, "secret: only4me0"), (42, "", "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, owner string, repo string, text string")
+    got = {r.doc_id: r for r in secrets.digest(secrets.secrets(df, repository="repo", owner="owner")).collect()}
+    assert all(got[i].n_live == 1 and got[i].n_shared == 0 for i in (*range(4), *range(20, 28), 41))
+    assert all(got[i].n_live == 0 and got[i].n_shared == 1 for i in (*range(10, 13), *range(30, 36)))
+    assert got[20].max_repositories == 8 and got[20].max_owners == 1
+    assert (got[40].spans, got[40].n_live, got[40].n_shared) == ("private_key:0:27", 0, 0) and got[42].spans == ""
+    assert got[0].spans == f"private_key:2:{2 + len(key(0))}"
+
+
+def test_secrets_of_a_text_with_very_many(spark):
+    rng = np.random.default_rng(3)
+    text, want = "é", []
+    for i in range(30_000):
+        text += " " * int(rng.integers(1, 4))
+        want.append(f"assign:{len(text)}:{len(text) + 12}")
+        text += f"token={i:06d}"
+    row = secrets.digest(secrets.secrets(spark.createDataFrame([(1, "s", text)], "doc_id long, source string, text string"))).first()
+    assert row.spans == ",".join(want) and row.n_assign == 30_000
+
+
 def test_quality(spark, docs):
     led = quality.apply_policy(quality.ledger(docs))
     got = rows_by_id(quality.digest(led))
