@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import first_per_value, group_col, group_of, mix64, n_parts, ordered, pack, stage, unpack
+from quillspark.llm._common import bucket_of, by_bucket, dealt, first_per_value, group_col, group_of, mix64, n_buckets, n_parts, ordered, pack, stage, unpack, unstage
 
 #: Bytes of documents handled at once, and units of one text.
 SLICE = 1 << 20
@@ -124,7 +124,7 @@ def _find(units: Units, buckets: int):
             if not got:
                 continue
             h, at, doc, crc = (np.concatenate(x) for x in zip(*got, strict=True))
-            bucket = ((h & np.uint64(0xFFFF)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
+            bucket = bucket_of(h, buckets)
             order = np.argsort(bucket, kind="stable")
             bucket = bucket[order]
             begin = first_per_value(bucket)
@@ -136,7 +136,7 @@ def _find(units: Units, buckets: int):
                 held = np.diff(np.append(first, len(o))).astype(np.uint32)
                 six = h[o].view(np.uint8).reshape(-1, 8)[:, 2:].reshape(-1)
                 rows.append(pack(six, at[o].astype(np.uint32), doc[o][first], crc[o][first], held))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.array(rows, pa.binary())], ["bucket", "blob"])
 
     return run
 
@@ -145,45 +145,47 @@ def _own(block: int, groups: int):
     """One hash bucket's anchors: those of two documents or more, each with its owner block."""
 
     def run(batches):
-        parts = []
-        for batch in batches:
-            for blob in batch.column(1):
-                six, at, doc, crc, held = unpack(blob.as_buffer().to_pybytes())
-                h = np.zeros((len(at), 8), np.uint8)
-                h[:, :6] = six.reshape(-1, 6)
-                h = h.reshape(-1).view(np.uint64) << np.uint64(16)
-                parts.append((h, at, np.repeat(doc, held), np.repeat(crc, held)))
-        if not parts:
-            return
-        h, at, doc, crc = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        h, order = ordered(h)
-        at, doc, crc = at[order].astype(np.int64), doc[order], crc[order]
-        begin = first_per_value(h)
-        size = np.diff(np.append(begin, len(h)))
-        owner = np.minimum.reduceat(doc, begin)
-        shared = np.repeat(owner != np.maximum.reduceat(doc, begin), size)
-        owner = np.repeat(owner, size)
-        first = np.repeat(np.minimum.reduceat(np.where(doc == owner, at, np.int64(1) << 62), begin), size)
-        with np.errstate(over="ignore"):
-            key = mix64(mix64(owner.view(np.uint64)) + (first // block).astype(np.uint64))[shared]
-        at, doc, crc = at[shared], doc[shared], crc[shared]
-        if not len(at):
-            return
-        group = group_of(doc, groups)
-        order = np.lexsort((at, crc, doc, group))
-        group, at, doc, crc, key = group[order], at[order], doc[order], crc[order], key[order]
-        begin = first_per_value(group)
-        blobs = []
-        for a, b in zip(begin, [*begin[1:], len(group)], strict=True):
-            first = np.flatnonzero(np.concatenate(([True], (doc[a:b][1:] != doc[a:b][:-1]) | (crc[a:b][1:] != crc[a:b][:-1]))))
-            held = np.diff(np.append(first, b - a)).astype(np.uint32)
-            blobs.append(pack(at[a:b].astype(np.uint32), key[a:b], doc[a:b][first], crc[a:b][first], held))
-        yield pa.RecordBatch.from_arrays([pa.array(group[begin].astype(np.int32)), pa.array(blobs, pa.binary())], ["g", "blob"])
+        for blobs in by_bucket(batches):
+            if (out := _owned(blobs, block, groups)) is not None:
+                yield out
 
     return run
 
 
+def _owned(blobs: list, block: int, groups: int) -> pa.RecordBatch | None:
+    parts = []
+    for six, at, doc, crc, held in blobs:
+        h = np.zeros((len(at), 8), np.uint8)
+        h[:, :6] = six.reshape(-1, 6)
+        h = h.reshape(-1).view(np.uint64) << np.uint64(16)
+        parts.append((h, at, np.repeat(doc, held), np.repeat(crc, held)))
+    h, at, doc, crc = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    h, order = ordered(h)
+    at, doc, crc = at[order].astype(np.int64), doc[order], crc[order]
+    begin = first_per_value(h)
+    size = np.diff(np.append(begin, len(h)))
+    owner = np.minimum.reduceat(doc, begin)
+    shared = np.repeat(owner != np.maximum.reduceat(doc, begin), size)
+    owner = np.repeat(owner, size)
+    first = np.repeat(np.minimum.reduceat(np.where(doc == owner, at, np.int64(1) << 62), begin), size)
+    with np.errstate(over="ignore"):
+        key = mix64(mix64(owner.view(np.uint64)) + (first // block).astype(np.uint64))[shared]
+    at, doc, crc = at[shared], doc[shared], crc[shared]
+    if not len(at):
+        return None
+    group = group_of(doc, groups)
+    order = np.lexsort((at, crc, doc, group))
+    group, at, doc, crc, key = group[order], at[order], doc[order], crc[order], key[order]
+    begin = first_per_value(group)
+    blobs = []
+    for a, b in zip(begin, [*begin[1:], len(group)], strict=True):
+        first = np.flatnonzero(np.concatenate(([True], (doc[a:b][1:] != doc[a:b][:-1]) | (crc[a:b][1:] != crc[a:b][:-1]))))
+        held = np.diff(np.append(first, b - a)).astype(np.uint32)
+        blobs.append(pack(at[a:b].astype(np.uint32), key[a:b], doc[a:b][first], crc[a:b][first], held))
+    return pa.RecordBatch.from_arrays([pa.array(group[begin].astype(np.int32)), pa.array(blobs, pa.binary())], ["g", "blob"])
+
+
 class Notes:
     """What is known of the documents of one group: arrays by (doc_id, crc), looked up document by document."""
 
@@ -319,11 +321,12 @@ def repeated_spans(docs: DataFrame, units: Units, settle: Callable, tag: str):
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = n_parts(docs)
-    buckets, groups = min(4 * parts, 1 << 16), 4 * parts
+    buckets, groups = n_buckets(docs), 4 * parts
     firsts = docs.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min(F.struct("doc_id", F.crc32("text").alias("crc"))).alias("m")).select("m.doc_id", "m.crc")
-    found = docs.mapInArrow(_find(units, buckets), "bucket int, blob binary").repartition(parts, "bucket")
+    found = dealt(docs.mapInArrow(_find(units, buckets), "bucket int, blob binary"), parts)
     shared = stage(found.mapInArrow(_own(units.block, groups), "g int, blob binary"), f"{tag}-anchors")
     firsts = stage(firsts, f"{tag}-firsts")
     segments = meet(docs, firsts, shared, groups, parts).mapInArrow(_segments(units), "key long, doc_id long, crc long, start long, body binary")
     spans = stage(segments.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_decide(settle, groups), "g int, blob binary"), f"{tag}-spans")
+    unstage(shared)
     return meet(docs, firsts, spans, groups, parts)

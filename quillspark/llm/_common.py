@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
+import re
 import struct
 import tempfile
 import uuid
@@ -16,39 +16,95 @@ _CODES = ["u1", "u2", "u4", "u8", "i8", "i4"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`; a temporary one only where that is unset."""
+    """The folder all executors share: `spark.checkpoint.dir`. Where that is unset, a temporary one for a local master; an error for any other."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = os.path.join(tempfile.gettempdir(), "quillspark-shared")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The shuffle files behind the written table are released once the JVM has collected them.
+    The shuffle files behind the written table go at once, the table itself with `unstage` or when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    _on_path(spark, path, "deleteOnExit")
+    out = spark.read.schema(schema).parquet(path)
+    out._qs_path = path
+    return out
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in staged:
+        _on_path(df.sparkSession, df._qs_path, "delete", True)
+
+
+def _on_path(spark: SparkSession, path: str, method: str, *rest) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    getattr(p.getFileSystem(spark._jsc.hadoopConfiguration()), method)(p, *rest)
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of `df`; only parallelism is derived from it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of `df`, or the length of its texts where there is none; only parallelism is derived from it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        texts = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+        size = df.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(8)).cast("long")).alias("n")).first().n or 0
+    return size
+
+
+#: Shuffle partitions at most; what a task holds at once is bounded by buckets, of which there may be more.
+MOST_PARTS = 200_000
 
 
 def n_parts(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     """Shuffle partitions for an input: one per `bytes_each`, never fewer than the session's default parallelism."""
-    floor = df.sparkSession.sparkContext.defaultParallelism
-    size = input_bytes(df)
-    return int(max(floor, min(200_000, -(-size // bytes_each)))) if size < 1 << 60 else max(floor, 200)
+    return int(max(df.sparkSession.sparkContext.defaultParallelism, min(MOST_PARTS, -(-input_bytes(df) // bytes_each))))
+
+
+def n_buckets(df: DataFrame, bytes_each: int = 2 << 20) -> int:
+    """Hash buckets for an input: a task reads one after the other, so their size bounds its memory."""
+    return int(max(4 * df.sparkSession.sparkContext.defaultParallelism, min(1 << 31, -(-input_bytes(df) // bytes_each))))
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each 64-bit hash, by its low half."""
+    return ((key & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """(bucket, blob) rows with the blobs of each bucket together."""
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+
+
+def by_bucket(batches):
+    """The unpacked blobs of one bucket after the other, from `dealt`."""
+    last, held = None, []
+    for batch in batches:
+        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if bucket != last:
+                if held:
+                    yield held
+                last, held = bucket, []
+            held.append(unpack(blob.as_buffer().to_pybytes()))
+    if held:
+        yield held
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

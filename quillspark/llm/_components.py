@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import stage
+from quillspark.llm._common import stage, unstage
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -29,19 +29,18 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[root[child]]
 
 
-def components(links: DataFrame, tag: str, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, tag: str) -> DataFrame:
     """(node, root) for every node of `links` (u, v: long) but the smallest of each component.
 
-    Large-star and small-star steps alternate until nothing changes; each round is written to the shared
-    folder. Grouped minima are summed before they move, and hub nodes only meet in joins that Spark can split.
+    Large-star and small-star steps alternate until nothing changes, however many rounds that takes; each round
+    is written to the shared folder and replaces the one before. Grouped minima are summed before they move, and
+    hub nodes only meet in joins that Spark can split.
     """
     order = F.struct(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).alias("l")
     cur = stage(links.where(F.col("u") != F.col("v")).select(order).select("l.*").distinct(), f"{tag}-links")
-    mark = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
+    mark = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)")).alias("t")).first()
     seen = mark(cur)
-    for _ in range(rounds):
-        if not seen.n:
-            break
+    while seen.n:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
         least = least.select("x", F.least("x", "m").alias("m"))
@@ -50,6 +49,7 @@ def components(links: DataFrame, tag: str, rounds: int = 60) -> DataFrame:
         small = large.join(least, large.u == least.x).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         new = stage(small.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct(), f"{tag}-links")
         now = mark(new)
+        unstage(cur)
         cur = new
         if now == seen:
             break

@@ -246,6 +246,39 @@ def test_forest(links):
     assert dict(zip(child.tolist(), top.tolist(), strict=True)) == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 12), max_size=9), st.integers(0, 1)), min_size=1, max_size=14), st.sampled_from([0.5, 0.8]))
+def test_tile_links(rows, similarity):
+    sets = [np.array(sorted(s), np.uint64) * np.uint64(0x9E3779B97F4A7C15) for s, _ in rows]
+    sets = [np.unique(s) for s in sets]
+    block = np.array([b for _, b in rows])
+    links = set()
+    for i, (s, x) in enumerate(rows):
+        for j, (t, y) in enumerate(rows[:i]):
+            if (x != y or block.min() == block.max()) and s & t and len(s & t) >= similarity * len(s | t):
+                links.add((i, j))
+    u, v = simhash_dedup.tile_links(sets, block, similarity)
+    want = _components.forest(np.array([a for a, _ in links], np.int64), np.array([b for _, b in links], np.int64)) if links else ([], [])
+    assert sorted(zip(u, v, strict=True)) == sorted(zip(*want, strict=True))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**64 - 1), st.integers(0, 63), st.integers(0, 2**32), st.sampled_from([4, 7]))
+def test_links_of_large_variants(base, bit, seed, radius):
+    """Entries of one variant, more than are compared pair by pair, against all pairs."""
+    rng = np.random.default_rng(seed)
+    p = np.array([base], np.uint64) ^ np.array([sum(1 << int(b) for b in rng.integers(24, 64, rng.integers(0, 6))) & (2**64 - 1) for _ in range(150)], np.uint64)
+    key, node = np.zeros(len(p), np.uint64), np.arange(len(p))
+    simhash_dedup.LARGE, before = 20, simhash_dedup.LARGE
+    try:
+        got = simhash_dedup.linked(key, p, node, radius)
+    finally:
+        simhash_dedup.LARGE = before
+    i, j = np.nonzero(np.triu(np.bitwise_count(p[:, None] ^ p[None, :]) <= radius, 1))
+    want = _components.forest(i, j) if len(i) else ([], [])
+    assert sorted(zip(*got, strict=True)) == sorted(zip(*want, strict=True))
+
+
 def test_shingle_hashes_and_fingerprint():
     import xxhash
 

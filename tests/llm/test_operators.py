@@ -258,14 +258,23 @@ def shingles_of(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def near_kept(texts):
-    """Ids of (id, text) pairs that stay, by comparing all."""
-    stay = []
-    for i, t in sorted(texts):
-        s = shingles_of(t)
-        if not any(s and len(s & u) >= 0.8 * len(s | u) for _, u in stay):
-            stay.append((i, s))
-    return {i for i, _ in stay}
+def near_kept(texts, similarity=0.8):
+    """Ids of (id, text) pairs that stay, by comparing all: the smallest of each component."""
+    texts = sorted(texts)
+    sets = [shingles_of(t) for _, t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if texts[i][1] == texts[j][1] or (s and len(s & sets[j]) >= similarity * len(s | sets[j])):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i for k, (i, _) in enumerate(texts) if find(k) == k}
 
 
 def test_near_duplicates_of_contiguous_edits(spark):
@@ -280,6 +289,23 @@ def test_near_duplicates_of_contiguous_edits(spark):
     assert got == near_kept(texts)
 
 
+def test_near_duplicates_of_a_large_group(spark, monkeypatch):
+    """A cluster of many tiles: copies of one text with scattered edits, some within the similarity, some not."""
+    monkeypatch.setattr(simhash_dedup, "TILE_TEXTS", 64)  # seen by the plan, which deals the blocks
+    rng = np.random.default_rng(8)
+    base = _text(150, 4000).split()
+    texts = [(1000, " ".join(base))]
+    for i in range(300):
+        w = list(base)
+        for k in rng.integers(0, len(w), rng.integers(0, 9)):
+            w[k] = f"w{i}x{k}"
+        texts.append((2000 + i, " ".join(w[: len(w) - int(rng.integers(0, 3)) * 12])))
+    texts += [(5, texts[7][1]), (6000, None), (6001, None), (6002, ""), (6003, " ")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id for r in simhash_dedup.drop_near_duplicates(df).collect()}
+    assert got == near_kept([(i, t or "") for i, t in texts if i != 6002]) - {6000} | {6000, 6002}
+
+
 def test_decontaminate(spark, docs):
     items = spark.createDataFrame([(1, PASSAGE), (2, None), (3, "too short"), (4, _text(40, 99)), (5, LINES.replace("\n", " "))], "item_id long, text string").withColumn("h", F.lit(1))
     found = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(docs, items).collect()}
