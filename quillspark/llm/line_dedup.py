@@ -34,7 +34,8 @@ from quillspark.llm._blocks import binary_column
 from quillspark.llm._common import stage
 
 LINES = "doc_id long, h long, lines array<long>, at array<int>, words array<int>, runs array<long>"
-SALTS = 8
+#: Pairs whose lines are unpacked at once.
+PAIRS = 256
 
 
 def runs(words: list[int], min_words: int) -> list[tuple[int, int]]:
@@ -146,7 +147,7 @@ def deleted_lines(later: list, earlier: list, at: list[int], words: list[int], m
 
 def _align(min_words: int):
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, PAIRS) for b in batches for i in range(0, b.num_rows, PAIRS)):
             docs, hs, ats, gone = [], [], [], []
             for doc, h, a, at, words, b in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if found := deleted_lines(a, b, at, words, min_words):
@@ -167,15 +168,15 @@ def overlapping(lines: DataFrame, min_words: int, rare_df: int, rare_words: int)
     short = short.where((F.get("words", "i") >= rare_words) & (F.get("words", "i") < min_words)).select("doc_id", "h", "line", around.alias("around"))
     rows = lines.select("doc_id", "h", F.explode("runs").alias("line"), F.lit(None).cast("long").alias("around")).unionByName(short)
     places = rows.groupBy("line", "around").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h")).alias("first"), F.max("doc_id").alias("last"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     owners = (
         places.groupBy("line")
         .agg(F.sum("n").alias("n"), F.count("*").alias("places"), F.count("around").alias("short"), F.min("first").alias("owner"), F.max("last").alias("last"))
         .where((F.col("last") > F.col("owner.doc_id")) & ((F.col("short") == 0) | (F.col("n") <= rare_df) | (2 * F.col("places") <= F.col("n"))))
-        .select("line", "owner", salts)
+        .select("line", "owner")
     )
-    salted = rows.select("doc_id", "h", "line", F.pmod("doc_id", F.lit(SALTS)).cast("int").alias("salt"))
-    return salted.join(owners, ["line", "salt"]).where(F.col("owner.doc_id") < F.col("doc_id")).select("doc_id", "h", "owner").distinct()
+    # written, so that the join deals both sides anew and can split a line that very many documents hold
+    found = rows.select("doc_id", "h", "line").join(stage(owners, "line-owners"), "line")
+    return found.where(F.col("owner.doc_id") < F.col("doc_id")).select("doc_id", "h", "owner").distinct()
 
 
 def deletions(docs: DataFrame, min_words: int, rare_df: int, rare_words: int) -> DataFrame:
@@ -195,16 +196,21 @@ def deletions(docs: DataFrame, min_words: int, rare_df: int, rare_words: int) ->
 
 
 def line_dedup(docs: DataFrame, min_words: int = 20, rare_df: int = 10, rare_words: int = 4) -> DataFrame:
-    """The rows of `docs` (doc_id, text, ...) with `text` cleaned, `_qs_lines` and `_qs_removed` added."""
+    """The rows of `docs` (doc_id, text, ...) with `text` cleaned, `_qs_lines` and `_qs_removed` added or replaced."""
+    docs = docs.drop("_qs_lines", "_qs_removed")
     gone = deletions(docs, min_words, rare_df, rare_words).select(F.col("doc_id").alias("_qs_doc"), F.col("h").alias("_qs_h"), F.col("gone").alias("_qs_gone"))
     rows = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_qs_doc")) & (F.xxhash64("text") == F.col("_qs_h")), "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_qs_gone", i)), "\n")
-    text = F.when(F.col("_qs_gone").isNull(), F.col("text")).otherwise(kept)
+    rows = rows.withColumn("_qs_split", F.split("text", "\n", -1))  # a column of its own, so that lambdas don't split again
+    n, m = F.size("_qs_split"), F.size("_qs_gone")
+    # the stretches between deleted lines
+    begin = lambda i: F.when(i > 0, F.get("_qs_gone", i - 1) + 1).otherwise(0)
+    end = lambda i: F.when(i < m, F.get("_qs_gone", i)).otherwise(n)
+    stretches = F.transform(F.sequence(F.lit(0), m), lambda i: F.slice("_qs_split", begin(i) + 1, end(i) - begin(i)))
+    text = F.when(F.col("_qs_gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(stretches), "\n"))
     return rows.select(
         *(text.alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_qs_lines"),
-        F.coalesce(F.size("_qs_gone"), F.lit(0)).cast("long").alias("_qs_removed"),
+        F.greatest(n, F.lit(0)).cast("long").alias("_qs_lines"),
+        F.greatest(m, F.lit(0)).cast("long").alias("_qs_removed"),
     )
 
 

@@ -23,10 +23,11 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 SCHEMA = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
 _SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
+MIN_WORDS = 20
 
 #: The rules in the order of their bits: a rule fails where its condition holds.
 RULES: dict[str, Column | str] = {
-    "few_words": "n_words < 20",
+    "few_words": f"n_words < {MIN_WORDS}",
     "repeated_words": "100 * n_repeat_words > 30 * n_words",
     "symbols": "100 * n_symbols > 20 * n_words",
     "long_words": "word_chars > 20 * n_words",
@@ -113,10 +114,12 @@ def _beside(batches):
 
 def keep(docs: DataFrame, policy: Policy = POLICIES["v1"]) -> DataFrame:
     """The rows of `docs` (text, ...) that pass a policy, all columns as they are; the ledger is made beside them, with no join."""
-    wide = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_qs_row"), F.col("text").cast("string").alias("_qs_text"))
+    rest = [F.col(c) for c in docs.columns if c != "text"] or [F.lit(0).alias("_qs_none")]
+    wide = docs.select(F.struct(*rest).alias("_qs_row"), F.col("text").cast("string").alias("_qs_text"))
     schema = T.StructType([*wide.schema.fields, *(T.StructField(f"_qs_{m}", T.LongType()) for m in MEASURES)])
-    measured = wide.mapInArrow(_beside, schema).select("_qs_row", *(F.col(f"_qs_{m}").alias(m) for m in MEASURES))
-    return measured.withColumn("fail_bits", fail_bits()).where(passes(policy)).select("_qs_row.*")
+    measured = wide.mapInArrow(_beside, schema).select("_qs_row", "_qs_text", *(F.col(f"_qs_{m}").alias(m) for m in MEASURES))
+    kept = measured.withColumn("fail_bits", fail_bits()).where(passes(policy))
+    return kept.select(*(F.col("_qs_text").cast(docs.schema["text"].dataType).alias(c) if c == "text" else F.col("_qs_row").getField(c).alias(c) for c in docs.columns))
 
 
 def passes(policy: Policy) -> Column:
