@@ -2,6 +2,11 @@
 
 Stages: quality rules, line dedup, SimHash near-dedup, benchmark decontamination, packing.  All but the last
 return the columns of `documents`; the last returns one row per packed piece with its ids.
+
+Defined results: a null or empty text fails the quality rules; a row with a null id takes part in the rules,
+decontamination and packing, but never in a comparison with other rows; rows that repeat both id and text are
+one document to the comparisons, and stay or go together; columns beside `doc_id` and `text` are handed on,
+`n_chars` follows the text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,16 +27,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Common blocks of lines go from the later document; `n_chars` follows the text."""
+    """Common blocks of lines go from the later document; `n_chars` follows the text.
+
+    A document left with fewer words than the quality rules ask for (a copy of earlier ones but for a stub) goes.
+    """
     cleaned = line_dedup.line_dedup(docs)
     n = F.when(F.col("_qs_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    # a document whose every line was deleted repeats earlier ones in full
-    cleaned = cleaned.where((F.col("_qs_removed") == 0) | F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    cleaned = cleaned.where((F.col("_qs_removed") == 0) | (words >= quality.MIN_WORDS))
     return cleaned.select(*(n.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
+    """One document of each group of near copies stays, the one with the smallest id; groups are components of five-word similarity."""
     return simhash_dedup.drop_near_duplicates(docs)
 
 
