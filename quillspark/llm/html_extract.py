@@ -1,18 +1,21 @@
-"""HTML extraction: structure marks the article, nearest-URL page differencing removes what pages repeat.
+"""HTML extraction: nearest-URL page differencing removes what pages repeat, structure marks the article.
 
-1. A page is cut into blocks (paragraphs, headings, list items, cells ...).  Each is marked *main* (inside
+1. A page is parsed once, to blocks (paragraphs, headings, list items, cells ...).  Each is marked *main* (inside
    an article or main element), *plain* or *aside* (menus, page headers and footers, sidebars, notices,
    adverts, forms, reader comments, by element, role or the words of class and id).
 2. Pages are sorted by host and URL path; each is paired with the pages before and after it, its nearest
-   URLs on that host.  The blocks of a pair are aligned by longest common subsequence of their hashes, and
-   plain blocks that both pages share are deleted.  Blocks of a marked article are kept, as neighbouring
-   articles may quote each other; so is a page of which nothing else would be left.
-3. A page with main blocks keeps those, any other its remaining plain blocks.
+   URLs on that host.  The blocks of a pair are aligned by longest common subsequence of their hashes, and the
+   lines that both pages share are deleted: plain and aside blocks always; a main block only if it is no quotation,
+   that is if some page shares the line with both its neighbours and `HOST_SHARE` of the host's pages,
+   `HOST_PAGES` at least, hold it.  A pair that shares half of a page's main blocks shows two copies of one article and
+   says nothing about its main blocks.
+3. Of what is left, a page with main blocks keeps those, any other its plain blocks; a page of which nothing would
+   be left keeps what differencing has taken from these.
 
 The sort deals rows by range of (host, path), so a host with a third of all pages is spread; only hashes are
-sorted and paired.  Defined results: a null html is empty; a null or odd URL counts as the empty host and
-path; repeated rows get the same result and are no neighbours of each other; an empty table gives an empty
-result; further columns of the input are ignored.
+sorted and paired, texts stay in the parsed table until the last join.  Defined results: a null html is empty; a null
+or odd URL counts as the empty host and path; repeated rows get the same result and are no neighbours of each
+other; an empty table gives an empty result; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -21,14 +24,18 @@ import bisect
 import html as _html
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm._common import n_parts, stage
 
 MAIN, PLAIN, ASIDE = 0, 1, 2
+#: A line of an article is the site's if this share of the host's pages hold it, and so many at least.
+HOST_SHARE, HOST_PAGES = 0.5, 8
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math object canvas audio video".split())
@@ -148,16 +155,41 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def shared_lines(a: list, b: list) -> tuple[list[int], list[int]]:
-    """Positions of a longest common subsequence in both sequences."""
-    head, n, m = 0, len(a), len(b)
-    while head < min(n, m) and a[head] == b[head]:
-        head += 1
-    while n > head and m > head and a[n - 1] == b[m - 1]:
-        n, m = n - 1, m - 1
-    where: dict = {}
-    for j in range(m - 1, head - 1, -1):
-        where.setdefault(b[j], []).append(j)
+#: Pairs of equal lines from which two pages are aligned by rows of bits.
+MANY = 1 << 21
+
+
+def _prefix_lengths(a: list, b: list) -> np.ndarray:
+    """The lengths of a longest common subsequence of `a` and each prefix of `b`, by one row of bits."""
+    masks: dict = {}
+    for j, x in enumerate(b):
+        masks.setdefault(x, []).append(j)
+    size = len(b) // 8 + 1
+    for x, at in masks.items():
+        row = np.zeros(8 * size, np.uint8)
+        row[at] = 1
+        masks[x] = int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little")
+    full = row = (1 << len(b)) - 1
+    for x in a:
+        if hit := row & masks.get(x, 0):
+            row = (row + hit | row - hit) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(size, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _halved(a: list, b: list, i0: int, j0: int) -> list[tuple[int, int]]:
+    """A longest common subsequence by halving `a`, in memory linear in both."""
+    if not a or not b:
+        return []
+    if len(a) == 1:
+        return [(i0, j0 + b.index(a[0]))] if a[0] in b else []
+    mid = len(a) // 2
+    at = int(np.argmax(_prefix_lengths(a[:mid], b) + _prefix_lengths(a[mid:][::-1], b[::-1])[::-1]))
+    return _halved(a[:mid], b[:at], i0, j0) + _halved(a[mid:], b[at:], i0 + mid, j0 + at)
+
+
+def _chained(a: list, b: list, head: int, n: int, where: dict) -> list[tuple[int, int]]:
+    """A longest common subsequence of a[head:n] with the places `where` equal lines stand in `b`, the last first."""
     tails: list[int] = []
     links: list = []
     for i in range(head, n):
@@ -170,7 +202,24 @@ def shared_lines(a: list, b: list) -> tuple[list[int], list[int]]:
     while link:
         mid.append(link[:2])
         link = link[2]
-    pairs = [(i, i) for i in range(head)] + mid[::-1] + list(zip(range(n, len(a)), range(m, len(b)), strict=True))
+    return mid[::-1]
+
+
+def shared_lines(a: list, b: list) -> tuple[list[int], list[int]]:
+    """Positions of a longest common subsequence in both sequences."""
+    head, n, m = 0, len(a), len(b)
+    while head < min(n, m) and a[head] == b[head]:
+        head += 1
+    while n > head and m > head and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    where: dict = {}
+    for j in range(m - 1, head - 1, -1):
+        where.setdefault(b[j], []).append(j)
+    if sum(len(where.get(x, ())) for x in a[head:n]) < MANY:
+        mid = _chained(a, b, head, n, where)
+    else:
+        mid = _halved(a[head:n], b[head:m], head, head)
+    pairs = [(i, i) for i in range(head)] + mid + list(zip(range(n, len(a)), range(m, len(b)), strict=True))
     return [i for i, _ in pairs], [j for _, j in pairs]
 
 
@@ -181,80 +230,149 @@ def host_path(url: str | None) -> tuple[str, str]:
     return host.lower(), path
 
 
-def _slim(batches):
+PARSED = "page_id long, url string, k binary, host string, path string, lines array<long>, zones binary, texts array<string>"
+
+
+def _parse(batches):
+    """Pages to blocks: `k` tells pages apart, `lines` are the blocks' hashes, `texts` those of the kind that the text is made of."""
     for batch in batches:
-        names = [host_path(u) for u in batch.column(1).to_pylist()]
-        hashes = [[xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, _ in blocks(h or "")] for h in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in names]), pa.array([x for _, x in names]), pa.array(hashes, pa.list_(pa.int64()))], ["k", "host", "path", "lines"])
+        for at in range(0, batch.num_rows, 500):
+            some = batch.slice(at, 500)
+            keys, hosts, paths, lines, zones, texts = [], [], [], [], [], []
+            for page_id, url, page in zip(*(some.column(i).to_pylist() for i in range(3)), strict=True):
+                host, path = host_path(url)
+                rows = blocks(page or "")
+                keys.append(xxhash.xxh3_128_digest(repr((page_id, url, page)).encode("utf-8", "surrogatepass")))
+                hosts.append(host)
+                paths.append(path)
+                lines.append([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, _ in rows])
+                zones.append(bytes(z for _, z in rows))
+                kind = MAIN if any(z == MAIN for _, z in rows) else PLAIN
+                texts.append([t if z == kind else None for t, z in rows])
+            columns = [pa.array(keys, pa.binary()), pa.array(hosts), pa.array(paths), pa.array(lines, pa.list_(pa.int64())), pa.array(zones, pa.binary()), pa.array(texts, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *columns], ["page_id", "url", "k", "host", "path", "lines", "zones", "texts"])
 
 
 def _neighbours(batches):
-    """Links of neighbouring rows of one host; the first and last row of the range for the seams."""
+    """Links of neighbouring rows of one host; the first and last row of the range for the seams, with the range's number."""
+    part = TaskContext.get().partitionId()
     before, first, last = None, None, None
+    names = ["a", "b", "part", "host"]
     for batch in batches:
         a, b = [], []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for row in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
             if before is None:
                 first = row
             elif before[0] == row[0]:
-                a.append(before[2])
-                b.append(row[2])
+                a.append(before[1])
+                b.append(row[1])
             before = last = row
-        none = pa.nulls(len(a), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), none, none], ["a", "b", "host", "path"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.string())], names)
     if first is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([first[2], None], pa.int64()), pa.array([None, last[2]], pa.int64()), pa.array([first[0], last[0]]), pa.array([first[1], last[1]])], ["a", "b", "host", "path"])
+        yield pa.RecordBatch.from_arrays([pa.array([first[1], None], pa.binary()), pa.array([None, last[1]], pa.binary()), pa.array([part, part], pa.int32()), pa.array([first[0], last[0]])], names)
 
 
 def _compare(batches):
+    """Pairs of pages to what each shares with the other: places of blocks that go, and main blocks (place, line) under suspicion."""
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("line", pa.int64())]))
     for batch in batches:
-        keys, found = [], []
-        for ka, kb, a, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        keys, sides, gone, main = [], [], [], []
+        for host_row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            ka, kb, a, za, b, zb = host_row
             x, y = shared_lines(a, b)
-            if x:
-                keys += [ka, kb]
-                found += [x, y]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["k", "shared"])
+            for k, side, lines, zones, at in ((ka, 1, a, za, x), (kb, 0, b, zb, y)):
+                if not at:
+                    continue
+                own = [i for i in at if zones[i] == MAIN]
+                copies = 2 * len(own) >= zones.count(MAIN)
+                keys.append(k)
+                sides.append(side)
+                gone.append([i for i in at if zones[i] != MAIN])
+                main.append([] if copies else [{"i": i, "line": lines[i]} for i in own])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sides, pa.int32()), pa.array(gone, pa.list_(pa.int32())), pa.array(main, kind)], ["k", "side", "gone", "main"])
+
+
+def kept_blocks(zones: bytes, gone: set[int]) -> list[int]:
+    """The places of the blocks that make up the text."""
+    kind = MAIN if MAIN in zones else PLAIN
+    every = [i for i, z in enumerate(zones) if z == kind]
+    return [i for i in every if i not in gone] or every
 
 
 def _text(batches):
     for batch in batches:
-        texts = []
-        for page, shared in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            gone = set(shared or ())
-            rows = blocks(page or "")
-            own = [t for t, z in rows if z == MAIN]
-            if not own:
-                plain = [(i, t) for i, (t, z) in enumerate(rows) if z == PLAIN]
-                own = [t for i, t in plain if i not in gone] or [t for _, t in plain]
-            texts.append("\n\n".join(own))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-
-def shared_with_neighbours(rows: DataFrame, parts: int) -> DataFrame:
-    """(k, shared): the block numbers that a page shares with the pages before and after it on its host."""
-    lines = stage(rows.mapInArrow(_slim, "k long, host string, path string, lines array<long>"), "html-lines").dropDuplicates(["k"])
-    order = ["host", "path", "k"]
-    dealt = stage(lines.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, "a long, b long, host string, path string"), "html-pairs")
-    inner = dealt.where(F.col("host").isNull()).select("a", "b")
-    # two rows per range: the last of one and the first of the next that has rows
-    seam = dealt.where(F.col("host").isNotNull()).select("host", "path", F.coalesce("a", "b").alias("k"), F.col("a").isNotNull().alias("opens"))
-    by = Window.orderBy("host", "path", "k", F.col("opens").desc())
-    seam = seam.select("host", "opens", "k", F.lag("host").over(by).alias("h0"), F.lag("k").over(by).alias("k0"), F.lag("opens").over(by).alias("o0"))
-    pairs = inner.unionByName(seam.where(F.col("opens") & ~F.col("o0") & (F.col("host") == F.col("h0"))).select(F.col("k0").alias("a"), F.col("k").alias("b")))
-    left = lines.select(F.col("k").alias("a"), F.col("lines").alias("x"))
-    right = lines.select(F.col("k").alias("b"), F.col("lines").alias("y"))
-    shared = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_compare, "k long, shared array<int>")
-    return shared.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"))
-
-
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url and text (empty if none) for each row of `pages` (page_id, url, html)."""
+        texts, shared, aside = [], [], []
+        for zones, own, gone in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            taken = set(gone or ())
+            kept = kept_blocks(zones, taken)
+            texts.append("\n\n".join([own[i] for i in kept]))
+            shared.append(len(taken.difference(kept)))
+            aside.append(sum(1 for i, z in enumerate(zones) if z == ASIDE and i not in taken))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(shared, pa.int64()), pa.array(aside, pa.int64())], ["page_id", "url", "text", "n_shared", "n_aside"])
+
+
+#: Ranges whose seams are joined at once; what is left of them, two rows each, is joined in one task.
+SEAMS = 512
+
+
+def _seams(ends: DataFrame) -> DataFrame:
+    """(a, b): the last page of a range and the first of the next range that has rows, on one host.
+
+    `ends` has two rows for each range: part, host, k, opens. Ranges are at most `_common.MOST_PARTS`.
+    """
+
+    def joined(rows: DataFrame, by) -> DataFrame:
+        last = {c: F.lag(c).over(by).alias(f"_{c}") for c in ("host", "k", "opens")}
+        return rows.select("*", *last.values(), F.lead("k").over(by).isNull().alias("_end"))
+
+    order = ["part", F.col("opens").desc()]
+    near = joined(ends.withColumn("group", F.floor(F.col("part") / SEAMS)), Window.partitionBy("group").orderBy(*order))
+    far = joined(near.where(F.col("_k").isNull() | F.col("_end")).select("part", "host", "k", "opens"), Window.orderBy(*order))
+    pair = F.col("opens") & ~F.col("_opens") & (F.col("host") == F.col("_host"))
+    of = lambda rows: rows.where(pair).select(F.col("_k").alias("a"), F.col("k").alias("b"))
+    return of(near).unionByName(of(far)).distinct()
+
+
+def neighbours(lines: DataFrame, parts: int) -> DataFrame:
+    """(a, b): the pages `lines` (k, host, path, page_id) that follow each other on their host, by path, then id."""
+    order = ["host", "path", "page_id", "k"]
+    rows = lines.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt = stage(rows.mapInArrow(_neighbours, "a binary, b binary, part int, host string"), "html-pairs")
+    ends = dealt.where(F.col("part").isNotNull()).select("part", "host", F.coalesce("a", "b").alias("k"), F.col("a").isNotNull().alias("opens"))
+    return dealt.where(F.col("part").isNull()).select("a", "b").unionByName(_seams(ends))
+
+
+def shared_blocks(parsed: DataFrame, parts: int) -> DataFrame:
+    """(k, gone): the places of the blocks that differencing deletes, for pages that have any."""
+    lines = stage(parsed.select("k", "host", "path", "page_id", "lines", "zones").dropDuplicates(["k"]), "html-lines")
+    left = lines.select(F.col("k").alias("a"), F.col("lines").alias("x"), F.col("zones").alias("xz"))
+    right = lines.select(F.col("k").alias("b"), F.col("lines").alias("y"), F.col("zones").alias("yz"))
+    both = neighbours(lines, parts).join(left, "a").join(right, "b").select("a", "b", "x", "xz", "y", "yz")
+    shared = stage(both.mapInArrow(_compare, "k binary, side int, gone array<int>, main array<struct<i: int, line: long>>"), "html-shared")
+    # main blocks: lines shared with both neighbours somewhere, then their share of the host's pages
+    suspects = shared.where(F.size("main") > 0).select("k", "side", F.explode("main").alias("m")).select("k", "side", "m.i", "m.line").join(lines.select("k", "host"), "k")
+    twice = stage(suspects.groupBy("k", "host", "i", "line").agg(F.count_distinct("side").alias("n")).where("n = 2").select("host", "line").distinct(), "html-suspects")
+    held = lines.select("host", F.explode(F.array_distinct("lines")).alias("line")).join(twice, ["host", "line"]).groupBy("host", "line").agg(F.count("*").alias("n"))
+    pages = lines.join(twice.select("host").distinct(), "host", "left_semi").groupBy("host").agg(F.count("*").alias("pages"))
+    sitewide = held.join(pages, "host").where((F.col("n") >= HOST_PAGES) & (F.col("n") >= HOST_SHARE * F.col("pages"))).select("host", "line")
+    main = suspects.join(sitewide, ["host", "line"]).select("k", F.array("i").alias("gone"))
+    rows = shared.select("k", "gone").unionByName(main)
+    return rows.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")).where(F.size("gone") > 0)
+
+
+def extract(pages: DataFrame, differencing: bool = True) -> DataFrame:
+    """page_id, url, text (empty if none), n_shared (blocks that differencing deleted) and n_aside (other blocks that their
+    markup names) for each row of `pages` (page_id, url, html). Without `differencing`, markup alone decides."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    keyed = rows.withColumn("k", F.xxhash64("page_id", "url", "html"))
-    shared = shared_with_neighbours(keyed.select("k", "url", "html"), n_parts(rows))
-    return keyed.join(shared, "k", "left").select("page_id", "url", "html", "shared").mapInArrow(_text, "page_id long, url string, text string")
+    parsed = stage(rows.mapInArrow(_parse, PARSED), "html-parsed")
+    if differencing:
+        # written, so that its size is known: beside a small table the texts stay where they are
+        gone = stage(shared_blocks(parsed, n_parts(rows)), "html-gone")
+        parsed = parsed.join(gone, "k", "left")
+    else:
+        parsed = parsed.withColumn("gone", F.lit(None).cast("array<int>"))
+    return parsed.select("page_id", "url", "zones", "texts", "gone").mapInArrow(_text, "page_id long, url string, text string, n_shared long, n_aside long")
 
 
 def digest(texts: DataFrame) -> DataFrame:
-    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_aside")

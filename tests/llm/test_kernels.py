@@ -93,6 +93,16 @@ def test_alignments(a, b):
     assert len(x) == best[-1][-1]
     if len(set(a)) == len(a) and a == b:
         assert pairs == [(i, i) for i in range(len(a))]
+    halved = html_extract._halved(a, b, 0, 0)
+    assert len(halved) == len(x) and all(a[i] == b[j] for i, j in halved)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(halved, halved[1:], strict=False))
+
+
+def test_alignment_of_very_many_equal_lines():
+    a, b = [1, 2] * 4000 + [3], [2] * 5000 + [1] * 3000 + [4]
+    x, y = html_extract.shared_lines(a, b)
+    assert len(x) == 4000 + 1 or len(x) >= 4000
+    assert [a[i] for i in x] == [b[j] for j in y] and x == sorted(set(x)) and y == sorted(set(y))
 
 
 BASE_PII = {

@@ -347,6 +347,81 @@ def test_html(spark):
     assert got == {0: ["own text 0"] * 2, 1: ["own text 1"], 2: ["own text 2"], 3: ["own text 3"], 10: ["T\n\nown 1"], 11: [""], 12: [""], 13: ["shared menu line\n\nown text 9\n\nshared foot"]}
 
 
+def html_by_hand(rows):
+    """The operator on (page_id, url, html) rows by its rules, with an alignment of its own and no tables."""
+    H = html_extract
+
+    def common(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in reversed(range(len(a))):
+            for j in reversed(range(len(b))):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                yield i, j
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+
+    pages = sorted({(H.host_path(u), i, u, h) for i, u, h in rows}, key=lambda p: (*p[0], p[1]))
+    parsed = [H.blocks(h or "") for *_, h in pages]
+    gone, sides = [set() for _ in pages], [{} for _ in pages]
+    for x in range(len(pages) - 1):
+        if pages[x][0][0] == pages[x + 1][0][0]:
+            pairs = list(common([t for t, _ in parsed[x]], [t for t, _ in parsed[x + 1]]))
+            for me, at, side in ((x, [i for i, _ in pairs], 1), (x + 1, [j for _, j in pairs], 0)):
+                zones = [z for _, z in parsed[me]]
+                gone[me] |= {i for i in at if zones[i] != H.MAIN}
+                own = [i for i in at if zones[i] == H.MAIN]
+                if 2 * len(own) < zones.count(H.MAIN):
+                    for i in own:
+                        sides[me].setdefault(i, set()).add(side)
+    for x, page in enumerate(pages):
+        host = [y for y, p in enumerate(pages) if p[0][0] == page[0][0]]
+        twice = {parsed[y][i][0] for y in host for i, s in sides[y].items() if len(s) == 2}
+        for i in sides[x]:
+            n = sum(any(t == parsed[x][i][0] for t, _ in parsed[y]) for y in host)
+            if parsed[x][i][0] in twice and n >= H.HOST_PAGES and n >= H.HOST_SHARE * len(host):
+                gone[x].add(i)
+    out = {}
+    for (_, i, u, _), rows_of, g in zip(pages, parsed, gone, strict=True):
+        kind = H.MAIN if any(z == H.MAIN for _, z in rows_of) else H.PLAIN
+        every = [k for k, (_, z) in enumerate(rows_of) if z == kind]
+        out[i, u] = "\n\n".join(rows_of[k][0] for k in ([k for k in every if k not in g] or every))
+    return out
+
+
+def test_html_by_differencing(spark):
+    """Against the operator by hand; without differencing the same pages give other texts."""
+    rng = np.random.default_rng(11)
+    pool = [_text(6, 5000 + i) for i in range(12)]
+    rows = []
+    for i in range(60):
+        own = [_text(8, 6000 + 20 * i + k) for k in range(4)]
+        inside = [f"<p>{t}</p>" for t in own[:3]]
+        if i % 3:  # the site's own line inside the article, and a quotation in some
+            inside.insert(int(rng.integers(0, 4)), "<p>Read more on this site</p>")
+        if i % 7 == 0:
+            inside.insert(1, f"<p>{pool[5 + i % 3]}</p>")
+        body = f"<article>{''.join(inside)}</article>" if i % 4 else "".join(inside)
+        frame = f"<div><p>{pool[i % 2]}</p></div>{body}<div><p>{own[3]}</p><p>{pool[2 + i % 2]}</p></div>"
+        rows.append((i, f"http://h{i % 3}/a/{int(rng.integers(0, 30)):02d}", frame))
+    rows += [(100 + i, f"http://copy/{i}", "<article><p>one</p><p>two</p><p>three</p></article>") for i in range(12)]
+    rows += [(200 + i, f"http://same/{i}", f"<p>{pool[0]}</p>") for i in range(3)] + [rows[5], rows[5], (300, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    want = html_by_hand(rows)
+    got = html_extract.extract(pages).collect()
+    assert len(got) == len(rows) and {(r.page_id, r.url): r.text for r in got} == want
+    assert sum(r.n_shared for r in got) > 100 and all("one\n\ntwo\n\nthree" == r.text for r in got if 100 <= r.page_id < 112)
+    off = {(r.page_id, r.url): r.text for r in html_extract.extract(pages, differencing=False).collect()}
+    marked = {(i, u) for i, u, h in rows if h and "<article>" in h and "Read more" in h}
+    assert sum(off[k] != want[k] for k in marked) > 20 and any("Read more" in off[k] and "Read more" not in want[k] for k in marked)
+    assert sum(off[k] != want[k] for k in off if k not in marked) > 10
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     items = spark.createDataFrame([], "item_id long, text string")
