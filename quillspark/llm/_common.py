@@ -26,7 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a staged table is written: its shuffle files go at once, Python gets small batches.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
@@ -37,12 +42,15 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     schema = df.schema
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    settings = spark._jsparkSession.sessionState().conf()
+    before = {k: spark.conf.get(k) if settings.contains(k) else None for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     _on_path(spark, path, "deleteOnExit")
     out = spark.read.schema(schema).parquet(path)
     out._qs_path = path

@@ -328,6 +328,56 @@ def test_decontaminate(spark, docs):
     assert Counter(r.doc_id for r in clean.collect()) == Counter(i for i, _ in ROWS if not any(i == d for d, _ in want))
 
 
+def test_decontamination_index(spark):
+    """The index finds exactly the windows within the radius, and the radius almost all windows at the least similarity."""
+    rng = np.random.default_rng(21)
+    items, texts = [], []
+    for i in range(150):
+        w = _text(int(rng.integers(50, 54)), 7000 + i).split()
+        items.append((i, " ".join(w)))
+        if i % 2:  # one to three words changed, or a run of three at an end
+            for k in rng.integers(0, len(w), int(rng.integers(1, 2))):
+                w[k] = f"x{i}"
+        else:
+            w[-3:] = [f"y{i}a", f"y{i}b", f"y{i}c"]
+        texts.append((i, _text(30, 8000 + i) + " " + " ".join(w) + " " + _text(20, 9000 + i)))
+    docs = spark.createDataFrame(texts + [(500, items[3][1]), (501, "a b")], "doc_id long, text string")
+    bench = decontaminate.items_of(spark.createDataFrame(items, "item_id long, text string")).cache()
+    windows = decontaminate.windows_of(docs, bench, 0.8).cache()
+    near = decontaminate.near_items(windows, bench, 19)
+    got = {(r.h1, r.h2, r.n_words, r.start, r.item_id) for r in near.collect()}
+    want, pairs = set(), 0
+    prints = bench.select("item_id", "n_words", "fp").collect()
+    for r in windows.collect():
+        assert r.fp == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in r.window) > len(r.window)) - (1 << 64 if sum(x >> 63 & 1 for x in r.window) * 2 > len(r.window) else 0)
+        for p in prints:
+            if p.n_words == r.n_words:
+                pairs += 1
+                if bin((p.fp ^ r.fp) & (1 << 64) - 1).count("1") <= 19:
+                    want.add((r.h1, r.h2, r.n_words, r.start, p.item_id))
+    assert got == want and len(got) < 0.05 * pairs  # selective: few pairs of one size are looked at
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    true = set()
+    for i, t in [*texts, (500, items[3][1])]:
+        w = t.split()
+        for k, item in items:
+            m = item.split()
+            need = Counter(tuple(m[x : x + 5]) for x in range(len(m) - 4))
+            for s in range(max(1, len(w) - len(m) + 1)):
+                have = Counter(tuple(w[x : x + 5]) for x in range(s, min(s + len(m), len(w)) - 4))
+                if sum((have & need).values()) >= 0.8 * sum((have | need).values()):
+                    true.add((i, k))
+    assert found <= true and len(true) > 100 and len(found) >= 0.99 * len(true)
+
+
+def test_decontamination_of_repeated_shingles(spark):
+    item = "a b c d e " * 6 + "f g h"
+    docs = spark.createDataFrame([(1, item), (2, "a b c d e " * 4 + "f g h i j"), (3, "x " * 10 + "a b c d e " * 6 + "f g h"), (4, "a b c d e")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, item)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.start_word, r.similarity) for r in decontaminate.leaks(docs, items).collect()}
+    assert found == {(d, i): (s, 1.0) for d, s in ((1, 0), (3, 10)) for i in (1, 2)}
+
+
 def test_pii(docs):
     got = rows_by_id(pii.digest(pii.pii(docs)))
     check_ids(got)
