@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.mathx import erf, normal_cdf
+from quillspark.operators.ranks import median
 
 #: Features in report order; ties of the dominant feature go to the first.
 FEATURES = ("cyclomatic", "nesting", "coupling", "length", "duplication", "cross_duplication")
@@ -89,7 +90,9 @@ def raw_scores(wide: DataFrame, fits: dict[str, Fit], weights: dict[str, float])
 
 def calibrate_k(wide: DataFrame, fits: dict[str, Fit], weights: dict[str, float]) -> float:
     """1 over the median unscaled score; 1 for no units or a median that isn't positive."""
-    m = raw_scores(wide, fits, weights).agg(F.median("raw_s").alias("m")).first().m
+    scores = raw_scores(wide, fits, weights).persist()  # one number a unit, read by several passes
+    m = median(scores, "raw_s")
+    scores.unpersist()
     return 1.0 / m if m is not None and m > 0 else 1.0
 
 

@@ -34,6 +34,20 @@ def clone_classes(rows: DataFrame, unit: str, frame: list[str] | None = None, mi
     return found.where("n >= 2")
 
 
+def line_masses(rows: DataFrame, unit: str, min_size: int = MIN_SIZE) -> DataFrame:
+    """unit, intra, cross: both masses of occurrences that never contain each other, such as lines.
+
+    Occurrences are counted by unit and digest once and dealt by digest; the classes and the rows they are joined to
+    read the same exchange.
+    """
+    each = rows.where(F.col("size") >= min_size).groupBy(unit, "digest").agg(F.count("*").alias("n"), F.max("size").alias("size")).repartition("digest")
+    classes = each.groupBy("digest").agg(F.sum("n").alias("total"), F.max("size").alias("class_size"), F.min(unit).alias("original"), F.max(unit).alias("last")).where("total >= 2")
+    both = each.join(classes, "digest")
+    own = F.when(F.col("n") >= 2, (F.col("n") - 1) * F.col("size")).otherwise(0)
+    shared = F.when((F.col("original") != F.col("last")) & (F.col(unit) != F.col("original")), F.col("class_size")).otherwise(0)
+    return both.groupBy(unit).agg(F.sum(own).cast("long").alias("intra"), F.sum(shared).cast("long").alias("cross"))
+
+
 def cross_mass(rows: DataFrame, unit: str, frame: list[str] | None = None, min_size: int = MIN_SIZE) -> DataFrame:
     """unit, mass: each digest shared by two units or more is charged once to every unit but the smallest.
 

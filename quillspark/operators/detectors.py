@@ -66,21 +66,24 @@ def fingerprint(patch: Column) -> Column:
     Lines that begin with +++ or --- count as headers wherever they stand.
     """
     lines = F.split(patch, "\n", -1)
-    changed = lambda sign: F.array_sort(
-        F.filter(
-            F.transform(F.filter(lines, lambda x: x.startswith(sign) & ~x.startswith(sign * 3)), lambda x: F.regexp_replace(F.substring(x, 2, 1 << 30), r"^\s+|\s+$", "")),
-            lambda x: x != "",
-        )
-    )
-    signed = lambda sign: F.transform(changed(sign), lambda x: F.concat(F.lit(sign), x, F.lit("\n")))
-    body = F.array_join(F.concat(signed("+"), signed("-")), "")
-    return F.when(body == "", "empty").otherwise(F.sha2(body, 256))
+    # '+' sorts before '-', and lines of one sign sort as their texts do
+    short = lambda x: F.concat(F.left(x, F.lit(1)), F.btrim(F.substring(x, 2, 1 << 30), F.lit(" \t\n\x0b\f\r")))
+    signed = lambda x: (x.startswith("+") & ~x.startswith("+++")) | (x.startswith("-") & ~x.startswith("---"))
+    changed = F.filter(F.transform(F.filter(lines, signed), short), lambda x: F.length(x) > 1)
+    body = F.array_join(F.sort_array(changed), "\n")
+    # the hash covers each line with its sign and line end; no line at all has no hash
+    return F.coalesce(F.sha2(F.concat(F.nullif(body, F.lit("")), F.lit("\n")), 256), F.lit("empty"))
 
 
 def shotgun_groups(prints: DataFrame, min_size: int = 5) -> DataFrame:
-    """Members (fp, path) of groups that share a fingerprint, with the group's size; a grouped count joined back."""
-    sizes = prints.where(F.col("fp") != "empty").groupBy("fp").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
-    return prints.join(sizes, "fp")
+    """Members (fp, ...) of groups that share a fingerprint, with the group's size.
+
+    Fingerprints are dealt out once: the counts and the members they are joined to read the same exchange.
+    """
+    dealt = prints.where(F.col("fp") != "empty").repartition("fp")
+    columns = [c for c in prints.columns if c != "fp"]
+    sizes = dealt.groupBy("fp").agg(F.count(F.struct(*columns)).alias("size")).where(F.col("size") >= min_size)
+    return dealt.join(sizes, "fp")
 
 
 @register("shotgun")
@@ -136,27 +139,43 @@ def switch_case_symmetry(facts: Facts) -> DataFrame | None:
     return _hits(rows, "switch_case_symmetry", OK, F.col("total"), F.col("at"), F.format_string("%s: %d of %d switches touched", F.col("name"), F.col("touched"), F.col("total")))
 
 
-def promoted(methods: DataFrame, embeds: DataFrame | None, depth: int = 8) -> DataFrame:
-    """Direct methods and those promoted through embedded types, to a bounded depth of embedding."""
+def closure(links: DataFrame) -> DataFrame:
+    """(type_id, embedded_id) over any number of embeddings: paths double in length until no new pair appears, also around cycles."""
+    pairs = links.select("type_id", "embedded_id").distinct().cache()
+    n = pairs.count()
+    while n:
+        step = pairs.select(F.col("type_id").alias("embedded_id"), F.col("embedded_id").alias("next"))
+        longer = pairs.join(step, "embedded_id").select("type_id", F.col("next").alias("embedded_id"))
+        grown = pairs.unionByName(longer).distinct().cache()
+        more = grown.count()
+        pairs.unpersist()
+        pairs = grown
+        if more == n:
+            break
+        n = more
+    return pairs
+
+
+def promoted(methods: DataFrame, embeds: DataFrame | None) -> DataFrame:
+    """Direct methods and those promoted through embedded types, however deep."""
     out = methods.select("type_id", "name", "sig", "path")
     if embeds is None:
         return out
-    links = embeds.select("type_id", "embedded_id").distinct()
-    level = links
-    for _ in range(depth):
-        out = out.unionByName(level.join(methods.select(F.col("type_id").alias("embedded_id"), "name", "sig", "path"), "embedded_id").select("type_id", "name", "sig", "path"))
-        if level.isEmpty():
-            break
-        level = level.join(links.select(F.col("type_id").alias("embedded_id"), F.col("embedded_id").alias("next")), "embedded_id").select("type_id", F.col("next").alias("embedded_id")).distinct()
-    return out.distinct()
+    held = methods.select(F.col("type_id").alias("embedded_id"), "name", "sig", "path")
+    return out.unionByName(closure(embeds).join(held, "embedded_id").select("type_id", "name", "sig", "path")).distinct()
 
 
 def implementors(required: DataFrame, methods: DataFrame) -> DataFrame:
     """(iface_id, type_id) by relational division: types that have every required (name, sig)."""
-    needed = required.select("iface_id", "name", "sig").distinct()
-    counts = needed.groupBy("iface_id").agg(F.count("*").alias("n_required"))
-    have = needed.join(methods.select("type_id", "name", "sig").distinct(), ["name", "sig"]).groupBy("iface_id", "type_id").agg(F.count("*").alias("n_have"))
-    return have.join(counts, "iface_id").where("n_have = n_required").select("iface_id", "type_id")
+    # the least common method of an interface is met first: only types that have it are counted at all
+    held = methods.select("type_id", "name", "sig").distinct()
+    times = held.groupBy("name", "sig").agg(F.count("*").alias("n_types"))
+    needed = required.select("iface_id", "name", "sig").distinct().join(times, ["name", "sig"], "left")
+    first = needed.groupBy("iface_id").agg(F.count("*").alias("n_required"), F.min(F.struct(F.coalesce("n_types", F.lit(0)).alias("n"), "name", "sig")).alias("m"))
+    first = first.where("m.n > 0").select("iface_id", "n_required", F.col("m.name").alias("name"), F.col("m.sig").alias("sig"))
+    pairs = first.join(held, ["name", "sig"]).select("iface_id", "n_required", "type_id")
+    have = pairs.join(needed.select("iface_id", "name", "sig"), "iface_id").join(held, ["type_id", "name", "sig"], "left_semi")
+    return have.groupBy("iface_id", "type_id", "n_required").agg(F.count("*").alias("n_have")).where("n_have = n_required").select("iface_id", "type_id")
 
 
 @register("implementor_scan")

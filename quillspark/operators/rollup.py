@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators import ranks
+
 MIN_WEIGHT = 0.05
 
 
@@ -27,8 +29,8 @@ def package_rollup(scores: DataFrame, levels: list[str], value: str = "s") -> Da
 
 
 def nearest_rank(df: DataFrame, value: str, p: float) -> DataFrame:
-    """The smallest value with at least p of all values at or below it; 0 for no rows."""
-    return df.agg(F.coalesce(F.expr(f"percentile_disc({p}) within group (order by {value})"), F.lit(0.0)).alias("p"))
+    """One row: the smallest value with at least p of all values at or below it; 0 for no rows."""
+    return df.sparkSession.range(1).select(F.lit(ranks.nearest_rank(df, value, p) or 0.0).alias("p"))
 
 
 def heat_hue(t: Column, p95: Column) -> Column:

@@ -11,8 +11,9 @@ from quillspark.functions.mathx import round_half_away
 from quillspark.operators import calibrate as C
 from quillspark.operators import clones, delta, detectors, paths, rollup, score
 from quillspark.sources import prose
+from quillspark.sources.config import Config
 
-WEIGHTS = {"cyclomatic": 1.0, "nesting": 0.8, "coupling": 0.6, "length": 0.5, "duplication": 0.7, "cross_duplication": 0.7}
+WEIGHTS = Config().weights
 AS_OF, WINDOW_DAYS = "2024-01-30 00:00:00", 7
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -349,13 +350,15 @@ def state_multiplier(spark, sf_dir):
     return rows.select("o_custkey", "o_orderkey", detectors.added_last(F.col("a"), F.col("b")).alias("new")).where(F.col("new").isNotNull())
 
 
-@query("""WITH h AS (SELECT 'p' || l_partkey % 50 AS path, CASE WHEN l_quantity > 49 THEN 2 ELSE 1 END AS class FROM lineitem WHERE l_quantity > 45 AND l_partkey % 50 < 30), c AS (SELECT DISTINCT 'p' || p_partkey % 40 AS path FROM part)
+@query("""WITH h AS (SELECT 'p' || l_partkey AS path, CASE WHEN l_quantity > 40 THEN 2 ELSE 1 END AS class FROM lineitem UNION ALL SELECT 'p' || l_suppkey, 4 FROM lineitem), c AS (SELECT DISTINCT 'p' || 2 * p_partkey AS path FROM part)
 SELECT coalesce(x.path, c.path) AS path, coalesce(x.class, 0) AS class, coalesce(n, 0) AS n_hits FROM (SELECT path, max(class) class, count(*) n FROM h GROUP BY 1) x FULL JOIN c ON x.path = c.path""")
 def scaling_rollup(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_quantity > 45 and l_partkey % 50 < 30")
-    path = lambda c, n: F.concat(F.lit("p"), (F.col(c) % n).cast("string"))
-    hits = li.select(F.lit("x").alias("detector"), F.when(F.col("l_quantity") > 49, 2).otherwise(1).alias("class"), F.lit(1).cast("long").alias("size"), path("l_partkey", 50).alias("path"), F.lit("").alias("evidence"))
-    changed = table(spark, sf_dir, "part").select(path("p_partkey", 40).alias("path")).distinct()
+    """Two detectors' hits, on parts and suppliers, over changed paths, some without a hit and some hits beside them."""
+    li = table(spark, sf_dir, "lineitem")
+    path = lambda c: F.concat(F.lit("p"), c.cast("string")).alias("path")
+    hit = lambda name, rank, key: li.select(F.lit(name).alias("detector"), rank.alias("class"), F.lit(1).cast("long").alias("size"), path(F.col(key)), F.lit("").alias("evidence"))
+    hits = hit("parts", F.when(F.col("l_quantity") > 40, 2).otherwise(1), "l_partkey").unionByName(hit("suppliers", F.lit(4), "l_suppkey"))
+    changed = table(spark, sf_dir, "part").select(path(2 * F.col("p_partkey"))).distinct()
     return detectors.breakdown(hits, changed).select("path", "class", F.size("hits").cast("long").alias("n_hits"))
 
 

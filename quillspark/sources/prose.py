@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.clones import cross_mass, intra_mass
+from quillspark.operators.clones import line_masses
 
 MIN_LINE = 12
 
@@ -18,7 +18,7 @@ def line_occurrences(docs: DataFrame, unit: str = "doc_id", text: str = "text")
 
 
 def features(docs: DataFrame, unit: str = "doc_id", text: str = "text") -> DataFrame:
-    """unit and the six features. Row features are one narrow pass; the two clone masses join on the unit."""
+    """unit and the six features. Row features are one narrow pass; both clone masses come from one pass over the lines and join on the unit."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(t, "\n")
     rows = docs.select(
@@ -28,8 +28,6 @@ def features(docs: DataFrame, unit: str = "doc_id", text: str = "text") -> DataF
         F.regexp_count(t, F.lit("[;:|]")).cast("long").alias("coupling"),
         F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("length"),
     )
-    occ = line_occurrences(docs, unit, text)
-    own = intra_mass(occ, [unit]).withColumnRenamed("mass", "duplication")
-    cross = cross_mass(occ, unit).withColumnRenamed("mass", "cross_duplication")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return rows.join(own, unit, "left").join(cross, unit, "left").select(unit, "cyclomatic", "nesting", "coupling", "length", zero("duplication"), zero("cross_duplication"))
+    masses = line_masses(line_occurrences(docs, unit, text), unit)
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
+    return rows.join(masses, unit, "left").select(unit, "cyclomatic", "nesting", "coupling", "length", zero("intra", "duplication"), zero("cross", "cross_duplication"))
