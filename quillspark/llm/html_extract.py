@@ -312,7 +312,7 @@ def _text(batches):
 
 
 #: Ranges whose seams are joined at once; what is left of them, two rows each, is joined in one task.
-SEAMS = 512
+SEAMS = 64
 
 
 def _seams(ends: DataFrame) -> DataFrame:

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from quillspark.llm._blocks import binary_column
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-_MOST_WORDS = 1 << 19
+#: Words remembered, in two generations: those of the older one move to the younger when they are met again.
+_GENERATION = 1 << 18
 #: The rules under which words can be tokenised one by one.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _PRE_TOKENIZER = {
@@ -52,6 +53,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         tokenizer = Tokenizer.from_file(path)
         self.encode, self.model = tokenizer.encode, tokenizer.model.tokenize
         rules = json.loads(tokenizer.to_str())
@@ -59,9 +61,12 @@ class WordIds(dict):
         self.by_word = marked and rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == _PRE_TOKENIZER and rules["post_processor"] is None
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= _MOST_WORDS:
+        if len(self) >= _GENERATION:
+            self.older = self.copy()
             self.clear()
-        if word.isalpha():  # bytes: ASCII letters only
+        if (ids := self.older.get(word)) is not None:
+            pass
+        elif word.isalpha():  # bytes: ASCII letters only
             ids = np.asarray([t.id for t in self.model(word.lower().decode())], "<u4").tobytes()
         elif word[-1:] in (b".", b",") and word[-2:-1].isalpha() and word.isascii():
             ids = self[word[:-1]] + self[word[-1:]]
