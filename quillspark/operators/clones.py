@@ -40,7 +40,9 @@ def line_masses(rows: DataFrame, unit: str, min_size: int = MIN_SIZE) -> DataFra
     Occurrences are counted by unit and digest once and dealt by digest; the classes and the rows they are joined to
     read the same exchange.
     """
-    each = rows.where(F.col("size") >= min_size).groupBy(unit, "digest").agg(F.count("*").alias("n"), F.max("size").alias("size")).repartition("digest")
+    # filters that either side of the join would add are stated for both, so that their exchanges are the same
+    solid = rows.where((F.col("size") >= min_size) & F.col(unit).isNotNull() & F.col("digest").isNotNull())
+    each = solid.groupBy(unit, "digest").agg(F.count("*").alias("n"), F.max("size").alias("size")).repartition("digest")
     classes = each.groupBy("digest").agg(F.sum("n").alias("total"), F.max("size").alias("class_size"), F.min(unit).alias("original"), F.max(unit).alias("last")).where("total >= 2")
     both = each.join(classes, "digest")
     own = F.when(F.col("n") >= 2, (F.col("n") - 1) * F.col("size")).otherwise(0)

@@ -55,9 +55,10 @@ def verdict(totals: DataFrame, pr_class: Column, limit: float, class_max: int) -
     return totals.select("*", (too_much | too_high).alias("failed"), reasons.alias("reasons"))
 
 
-def scaling_bonus(total_delta: Column, bonus: Column) -> Column:
-    """A bonus earned by lowering a class is taken off the total."""
-    return total_delta + F.coalesce(bonus, F.lit(0.0))
+def with_bonus(totals: DataFrame, bonus: Column) -> DataFrame:
+    """Totals after a bonus (zero or negative) that lowering a class has earned; adds it as `bonus`, the density follows."""
+    earned = totals.withColumn("bonus", F.coalesce(bonus, F.lit(0.0))).withColumn("total", F.col("total") + F.col("bonus"))
+    return earned.withColumn("density", F.col("total") / F.greatest(F.lit(1.0), F.col("lines_changed").cast("double")))
 
 
 def downgrade_bonus(before: Column, after: Column, beta: float = 0.5) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.classes import O2N, OK, ON
@@ -76,14 +76,14 @@ def fingerprint(patch: Column) -> Column:
 
 
 def shotgun_groups(prints: DataFrame, min_size: int = 5) -> DataFrame:
-    """Members (fp, ...) of groups that share a fingerprint, with the group's size.
+    """Members (fp, ...) of groups that share a fingerprint, with the group's size: one window over narrow rows.
 
-    Fingerprints are dealt out once: the counts and the members they are joined to read the same exchange.
+    Empty patches are spread over the partitions, and dropped by their size of zero: a filter on the fingerprint itself
+    would be pushed below the projection and work it out again.
     """
-    dealt = prints.where(F.col("fp") != "empty").repartition("fp")
-    columns = [c for c in prints.columns if c != "fp"]
-    sizes = dealt.groupBy("fp").agg(F.count(F.struct(*columns)).alias("size")).where(F.col("size") >= min_size)
-    return dealt.join(sizes, "fp")
+    spread = F.when(F.col("fp") == "empty", F.xxhash64(*(c for c in prints.columns if c != "fp")))
+    size = F.when(F.col("fp") != "empty", F.count("*").over(Window.partitionBy("fp", spread))).otherwise(0)
+    return prints.withColumn("size", size).where(F.col("size") >= max(1, min_size))
 
 
 @register("shotgun")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.classes import label, parse
 from quillspark.operators import delta, detectors
 from quillspark.operators.calibrate import FEATURES, Calibration, calibrate
+from quillspark.operators.features import REGISTRY, extended
 from quillspark.operators.paths import classify_change, classify_skip, is_analyzable
 from quillspark.operators.rollup import series
 from quillspark.operators.score import contributions_map, rank, score
@@ -27,17 +28,22 @@ def cross_enabled(config: Config) -> bool:
 
 
 def tree_features(files: DataFrame, config: Config) -> DataFrame:
-    return gosrc.features(gosrc.parsed(files), cross=cross_enabled(config)).cache()
+    return measured(gosrc.parsed(files), config).cache()
+
+
+def measured(files: DataFrame, config: Config) -> DataFrame:
+    """All features of parsed files: the built-in and the registered ones."""
+    return extended(gosrc.features(files, cross=cross_enabled(config)), files, config.weights)
 
 
 def resolve_calibration(feats: DataFrame, config: Config, cache: str | None = None, recalibrate: bool = False) -> Calibration:
-    """The stored calibration if it covers all features, else a new one, which is stored."""
-    if cache and not recalibrate and (held := load_calibration(cache, list(config.weights))):
+    """The stored calibration if it is of these weights and covers all features, else a new one, which is stored."""
+    if cache and not recalibrate and (held := load_calibration(cache, config.weights)):
         return held
     cal = calibrate(feats, "path", config.weights)
     if cache:
         try:
-            save_calibration(cache, cal)
+            save_calibration(cache, cal, config.weights)
         except OSError:
             pass  # a read-only tree is no reason to fail
     return cal
@@ -50,7 +56,7 @@ def scan(spark: SparkSession, root: str, config: Config | None = None, churn: di
     cal = resolve_calibration(feats, config, cache, recalibrate)
     counts = spark.createDataFrame(list((churn or {}).items()), "path string, churn bigint")
     scores = score(feats.join(counts, "path", "left"), cal, config.weights, churn="churn")
-    names = [n for n in FEATURES if n in config.weights]
+    names = [n for n in (*FEATURES, *REGISTRY) if n in config.weights and n in scores.columns]
     return rank(scores.select("path", "s", "t", "dominant", contributions_map(names).alias("contributions")), "path", top)
 
 
@@ -69,6 +75,7 @@ class CheckResult:
     reasons: list[str] = field(default_factory=list)
     threshold: float = 0.05
     class_max: str = "O(k)"
+    downgrade_bonus: float = 0.0
 
 
 def changes_of(spark: SparkSession, raw: list[dict], numstat: list[dict]) -> DataFrame:
@@ -89,8 +96,12 @@ def module_of(git: G.Git, ref: str) -> str:
     return next((line.split()[1] for line in text.splitlines() if line.startswith("module ") and len(line.split()) > 1), "")
 
 
-def check(spark: SparkSession, git: G.Git, base: str, head: str, config: Config | None = None, cache: str | None = None, root: str | None = None) -> CheckResult:
-    """Signed change of S between two refs and the scaling class of the change, against the gate."""
+def check(spark: SparkSession, git: G.Git, base: str, head: str, config: Config | None = None, cache: str | None = None, root: str | None = None, downgrade: tuple[float, float] | None = None) -> CheckResult:
+    """Signed change of S between two refs and the scaling class of the change, against the gate.
+
+    `downgrade` is the size of what a signal covers before and after the change, for a change that reduces it: the
+    bonus that it earns is taken off the total.  No detector reports one by itself.
+    """
     config = config or Config()
     base_sha, head_sha = G.resolve(git, base), G.resolve(git, head)
     cal = resolve_calibration(tree_features(gosrc.read_tree(spark, root or git.root), config), config, cache)
@@ -112,7 +123,7 @@ def check(spark: SparkSession, git: G.Git, base: str, head: str, config: Config
     sides = parsed.select("path", "frame").distinct().groupBy("path").agg(F.count("*").alias("n"))
     lopsided = both.join(sides.where("n = 1"), "path", "left_semi")
     kept = parsed.join(lopsided, "path", "left_anti")
-    scores = score(gosrc.features(kept, cross=cross_enabled(config)), cal, config.weights).select("frame", "path", "s").cache()
+    scores = score(measured(kept, config), cal, config.weights).select("frame", "path", "s").cache()
     of = lambda f: scores.where(F.col("frame") == f).select("path", F.col("s").alias(f"s_{f}"))
     sided = go.join(of("base"), "path", "left").join(of("head"), "path", "left")
     kind = F.when(F.col("kind") == "renamed", "modified").otherwise(F.col("kind"))
@@ -133,12 +144,14 @@ def check(spark: SparkSession, git: G.Git, base: str, head: str, config: Config
     by_path = detectors.analyze(facts, changes.where("reason is null")).cache()
     rank_max = detectors.change_class(by_path).first()["class"]
 
-    sums = delta.total(deltas, int(lines))
+    before, after = downgrade or (0.0, 0.0)
+    bonus = delta.downgrade_bonus(F.lit(float(before)), F.lit(float(after)), config.scaling_bonus_beta)
+    sums = delta.with_bonus(delta.total(deltas, int(lines)), bonus)
     row = delta.verdict(sums, F.lit(rank_max), config.delta_s_max, parse(config.scaling_class_max)).first()
     files = [r.asDict() for r in deltas.orderBy("path").collect()]
     breakdown = [r.asDict(recursive=True) for r in by_path.orderBy("path").collect()]
     reasons = [f"ΔS density {row.density:.4f} > {config.delta_s_max:.4f}" if r == "delta_s" else f"scaling {label(rank_max)} > {config.scaling_class_max}" for r in row.reasons]
-    return CheckResult(base_sha, head_sha, files, row.total, row.density, row.lines_changed, rank_max, breakdown, skipped, row.failed, reasons, config.delta_s_max, config.scaling_class_max)
+    return CheckResult(base_sha, head_sha, files, row.total, row.density, row.lines_changed, rank_max, breakdown, skipped, row.failed, reasons, config.delta_s_max, config.scaling_class_max, row.bonus)
 
 
 def _analyzable():
@@ -150,17 +163,16 @@ def _analyzable():
 def history(spark: SparkSession, git: G.Git, ref: str = "HEAD", limit: int = 30, config: Config | None = None, first_parent: bool = False, cache: str | None = None) -> DataFrame:
     """sha, short_sha, commit_time, subject, s, n_files per commit, oldest first.
 
-    Commits are frames of one table: contents that commits share are parsed once, and clone masses are
-    computed for all commits in one plan.
+    Commits are frames of one table: trees are listed and contents read by the tasks, contents that commits share are
+    read and parsed once, and clone masses are computed for all commits in one plan.
     """
     config = config or Config()
     commits = G.log(git, ref, limit, first_parent)
     cal = resolve_calibration(tree_features(gosrc.read_tree(spark, git.root), config), config, cache)
-    listing = [(c["sha"], c["sha"], p, p) for c in commits for p in G.source_files(git, c["sha"])]
-    files = G.contents(spark.createDataFrame(listing, LISTING), git.root)
-    feats = gosrc.features(gosrc.parsed(files), cross=cross_enabled(config))
-    totals = series(score(feats, cal, config.weights), ["frame"])
     listed = spark.createDataFrame(commits, "sha string, short_sha string, commit_time string, subject string, position int")
+    trees = G.listed(listed, git.root).cache()
+    files = trees.join(G.blob_contents(trees, git.root), "blob").select(F.col("sha").alias("frame"), "path", "src")
+    totals = series(score(measured(gosrc.parsed(files), config), cal, config.weights), ["frame"])
     out = listed.join(totals, listed.sha == totals.frame, "left")
     return out.select("sha", "short_sha", "commit_time", "subject", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("n_files", F.lit(0)).alias("n_files"), "position").orderBy("position").drop("position")
 

@@ -1,21 +1,23 @@
-"""Tables, JSON, SARIF and Markdown."""
+"""Tables, JSON, SARIF and Markdown: each report is a list of parts, and a writer that joins them."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 
 from quillspark.functions.classes import label
 from quillspark.plans.source import CheckResult
 
 MARKER = "<!-- quillspark-report -->"
 HOTSPOTS = 3
+#: Scripts read these names, in this order, from the first line of a check.
+STATUS_FIELDS = ("ΔS_total", "ΔS_density", "threshold", "scaling_class", "lines_changed", "files")
 
 
-def table(head: list[str], rows: list[list[str]]) -> str:
-    """Left-aligned columns, two spaces apart."""
-    widths = [max(map(len, column)) for column in zip(head, *rows, strict=True)]
-    lines = ["  ".join(x.ljust(w) for x, w in zip(row, widths, strict=True)).rstrip() for row in [head, *rows]]
-    return "\n".join(lines) + "\n"
+def columns(rows: list[list[str]]) -> str:
+    """Rows of cells under each other, two spaces between columns; the first row is the head."""
+    widths = [max(map(len, column)) for column in zip(*rows, strict=True)]
+    return "".join("  ".join(x.ljust(w) for x, w in zip(row, widths, strict=True)).rstrip() + "\n" for row in rows)
 
 
 def _json(value) -> str:
@@ -23,7 +25,7 @@ def _json(value) -> str:
 
 
 def scan_table(files: list[dict]) -> str:
-    return table(["PATH", "S", "T", "DOMINANT"], [[f["path"], f"{f['s']:.2f}", f"{f['t']:.2f}", f["dominant"]] for f in files])
+    return columns([["PATH", "S", "T", "DOMINANT"], *([f["path"], f"{f['s']:.2f}", f"{f['t']:.2f}", f["dominant"]] for f in files)])
 
 
 def scan_json(files: list[dict]) -> str:
@@ -31,26 +33,37 @@ def scan_json(files: list[dict]) -> str:
     return _json(files)
 
 
-def scan_sarif(files: list[dict], version: str, note: float = 1.0, warning: float = 1.5, error: float = float("inf")) -> str:
-    """SARIF 2.1.0: one result for each file at or above the note floor, in the order given."""
-    note, warning, error = (v if v > 0 else d for v, d in ((note, 1.0), (warning, 1.5), (error, float("inf"))))
+def _level(t: float, floors: dict[str, float]) -> str | None:
+    """The highest level whose floor t reaches; None below all, and for what isn't a number."""
+    return next((name for name, floor in floors.items() if t >= floor), None)
+
+
+def scan_sarif(files: list[dict], version: str, note: float = 1.0, warning: float = 1.5, error: float = float("inf"), uri: str | None = None) -> str:
+    """SARIF 2.1.0: one result for each file at or above the note floor, in the order given.
+
+    `uri`, where given, is the address of the tool's documentation.  Option values that aren't positive mean the default.
+    """
+    defaults = {"error": float("inf"), "warning": 1.5, "note": 1.0}
+    floors = {name: given if given > 0 else defaults[name] for name, given in (("error", error), ("warning", warning), ("note", note))}
+    rule = {
+        "id": "hot-file",
+        "name": "HotFile",
+        "shortDescription": {"text": "Disordered and often changed"},
+        "fullDescription": {"text": "The structure of this file is more disordered than that of most files of the tree. Its temperature is that disorder, raised by how often the file changed of late."},
+        "help": {"text": "See which feature dominates and reduce that first: split long functions, flatten nesting, name conditions, move repeated code into one place, or cut imports."},
+        "defaultConfiguration": {"level": "note"},
+    }
+    driver = {"name": "quillspark", "version": version, "rules": [rule]}
+    if uri:
+        rule["helpUri"] = driver["informationUri"] = uri
     results = []
     for f in files:
-        t = f["t"]
-        if not t >= note:
+        if (level := _level(f["t"], floors)) is None or f["t"] < floors["note"]:
             continue
-        uri = f["path"].replace("\\", "/")
-        results.append(
-            {
-                "ruleId": "high-entropy",
-                "level": "error" if t >= error else "warning" if t >= warning else "note",
-                "message": {"text": f"Code entropy S={f['s']:.2f}, temperature T={t:.2f} (dominant microstate: {f['dominant']})."},
-                "locations": [{"physicalLocation": {"artifactLocation": {"uri": uri}, "region": {"startLine": 1}}}],
-                "partialFingerprints": {"quillsparkPath": uri},
-            }
-        )
-    rule = {"id": "high-entropy", "name": "HighEntropy", "shortDescription": {"text": "High code entropy"}, "defaultConfiguration": {"level": "note"}}
-    driver = {"name": "quillspark", "version": version, "rules": [rule]}
+        place = f["path"].replace("\\", "/")
+        cause = f"mostly {f['dominant']}" if f["dominant"] else "no feature stands out"
+        where = {"physicalLocation": {"artifactLocation": {"uri": place}, "region": {"startLine": 1}}}
+        results.append({"ruleId": rule["id"], "level": level, "message": {"text": f"T {f['t']:.2f} from S {f['s']:.2f}, {cause}"}, "locations": [where], "partialFingerprints": {"filePath": place}})
     return _json({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results}]})
 
 
@@ -58,73 +71,73 @@ def hits_above_lowest(result: CheckResult) -> list[dict]:
     return [h for row in result.breakdown for h in row["hits"] if h["class"] > 0]
 
 
+def _status(r: CheckResult) -> dict[str, str]:
+    values = (f"{r.total:.4f}", f"{r.density:.4f}", f"{r.threshold:.4f}", label(r.scaling_class), str(r.lines_changed), str(len(r.files)))
+    return dict(zip(STATUS_FIELDS, values, strict=True))
+
+
+def _file_rows(r: CheckResult, path) -> Iterable[list[str]]:
+    return ([path(f["path"]), f["kind"], f"{f['s_base']:.3f}", f"{f['s_head']:.3f}", f"{f['delta']:+.3f}"] for f in r.files)
+
+
 def check_table(r: CheckResult) -> str:
-    fields = [
-        "FAIL" if r.failed else "PASS", f"ΔS_total={r.total:.4f}", f"ΔS_density={r.density:.4f}", f"threshold={r.threshold:.4f}",
-        f"scaling_class={label(r.scaling_class)}", f"lines_changed={r.lines_changed}", f"files={len(r.files)}",
-    ]
-    out = ["  ".join(fields)]
-    out += [f"  reason: {x}" for x in r.reasons]
-    for h in hits_above_lowest(r):
-        size = f" (size={h['size']})" if h["size"] > 0 else ""
-        out.append(f"  scaling: {h['detector']} {label(h['class'])} in {h['path']}{size}" + (f" — {h['evidence']}" if h["evidence"] else ""))
-    text = "\n".join(out) + "\n"
+    """The status line, then one block each of reasons, signals and files, those that have rows."""
+    out = ["  ".join(["FAIL" if r.failed else "PASS", *(f"{k}={v}" for k, v in _status(r).items())]) + "\n"]
+    out += [f"  because {x}\n" for x in r.reasons]
+    if hits := hits_above_lowest(r):
+        out.append(columns([["SIGNAL", "CLASS", "SIZE", "PATH", "EVIDENCE"], *([h["detector"], label(h["class"]), str(h["size"] or ""), h["path"], h["evidence"]] for h in hits)]))
     if r.files:
-        text += table(["KIND", "PATH", "S_BASE", "S_HEAD", "Δ"], [[f["kind"], f["path"], f"{f['s_base']:.3f}", f"{f['s_head']:.3f}", f"{f['delta']:+.3f}"] for f in r.files])
-    return text
+        out.append(columns([["FILE", "CHANGE", "S BEFORE", "S AFTER", "DELTA"], *_file_rows(r, str)]))
+    return "".join(out)
 
 
 def check_json(r: CheckResult) -> str:
+    """The names of the fields, which scripts read."""
     named = lambda rows: [row | {"class": label(row["class"])} for row in rows]
-    out: dict = {"verdict": "fail" if r.failed else "pass"}
-    if r.reasons:
-        out["reasons"] = r.reasons
-    out |= {"threshold": r.threshold, "scaling_class_max": r.class_max}
-    out["result"] = {
-        "base": r.base,
-        "head": r.head,
-        "delta": {"total": r.total, "density": r.density, "lines_changed": r.lines_changed, "files": r.files},
-        "scaling": {"class": label(r.scaling_class), "breakdown": [row | {"class": label(row["class"]), "hits": named(row["hits"])} for row in r.breakdown], "acknowledged": [], "downgrade_bonus": 0.0},
-        "skipped": r.skipped,
-    }
-    return _json(out)
+    scaling = {"class": label(r.scaling_class), "breakdown": [row | {"class": label(row["class"]), "hits": named(row["hits"])} for row in r.breakdown], "acknowledged": [], "downgrade_bonus": r.downgrade_bonus}
+    delta = {"total": r.total, "density": r.density, "lines_changed": r.lines_changed, "files": r.files}
+    head = {"verdict": "fail" if r.failed else "pass"} | ({"reasons": r.reasons} if r.reasons else {})
+    return _json(head | {"threshold": r.threshold, "scaling_class_max": r.class_max, "result": {"base": r.base, "head": r.head, "delta": delta, "scaling": scaling, "skipped": r.skipped}})
 
 
-def inline(text: str) -> str:
-    """Safe inside a Markdown code span."""
-    return text.replace("`", "ˋ").replace("\r", " ").replace("\n", " ")
+def code(text: str) -> str:
+    """A path as Markdown code that nothing in it can end: the fence is longer than any run of backticks inside, line ends are shown as spaces, bars are escaped for tables."""
+    flat = " ".join(text.splitlines()) if text.splitlines() else ""
+    longest = max((len(run) for run in "".join(c if c == "`" else " " for c in flat).split()), default=0)
+    fence = "`" * (longest + 1)
+    pad = " " if flat.startswith("`") or flat.endswith("`") else ""
+    return f"{fence}{pad}{flat}{pad}{fence}".replace("|", "\\|")
 
 
-def cell(text: str) -> str:
-    return inline(text).replace("|", "\\|")
+def _grid(head: list[str], rows: Iterable[list[str]], numbers: int) -> list[str]:
+    """A Markdown table, its last `numbers` columns aligned right."""
+    rule = ["---"] * (len(head) - numbers) + ["---:"] * numbers
+    return ["| " + " | ".join(row) + " |" for row in (head, rule, *rows)]
 
 
 def check_markdown(r: CheckResult) -> str:
-    out = [MARKER, f"## {'❌' if r.failed else '✅'} quillspark — {'FAIL' if r.failed else 'PASS'}", ""]
-    out.append(f"**ΔS_total** `{r.total:+.4f}` · **ΔS_density** `{r.density:.4f}` (threshold `{r.threshold:.4f}`) · **scaling class** `{label(r.scaling_class)}` · {r.lines_changed} lines, {len(r.files)} files")
+    """Marker, verdict and status as a table, then a section for each kind of finding that there is."""
+    parts = [[MARKER, f"## Entropy gate: {'failed' if r.failed else 'passed'}"]]
+    parts.append(_grid(["measure", "value"], ([k, v] for k, v in _status(r).items()), 1))
     if r.failed:
-        out += ["", "> ❌ Gate failed:", *(f"> - {x}" for x in r.reasons)]
+        parts.append(["The gate fails because of", *(f"* {x}" for x in r.reasons)])
     if hits := hits_above_lowest(r):
-        out += ["", "**Scaling signals**"]
-        for h in hits:
-            size = f" (size {h['size']})" if h["size"] > 0 else ""
-            out.append(f"- `{h['detector']}` **{label(h['class'])}** in `{inline(h['path'])}`{size}" + (f" — {h['evidence']}" if h["evidence"] else ""))
+        rows = ([label(h["class"]), h["detector"], code(h["path"]), str(h["size"] or ""), h["evidence"].replace("|", "\\|")] for h in hits)
+        parts += [["#### How far the change ripples"], _grid(["class", "signal", "path", "size", "evidence"], rows, 0)]
     if r.files:
-        out += ["", "### Changed files", "", "| Kind | Path | S_base | S_head | Δ |", "| --- | --- | ---: | ---: | ---: |"]
-        out += [f"| {f['kind']} | `{cell(f['path'])}` | {f['s_base']:.3f} | {f['s_head']:.3f} | {f['delta']:+.3f} |" for f in r.files]
+        parts += [["#### Files"], _grid(["path", "change", "S before", "S after", "delta"], _file_rows(r, code), 3)]
         hot = sorted((f for f in r.files if f["s_head"] > 0), key=lambda f: -f["s_head"])[:HOTSPOTS]
         if hot:
-            out += ["", "### Top hotspots (changed files)", "", *(f"{i}. `{inline(f['path'])}` — S {f['s_head']:.3f}" for i, f in enumerate(hot, 1))]
+            parts.append(["Most disordered now: " + ", ".join(f"{code(f['path'])} ({f['s_head']:.3f})" for f in hot)])
     else:
-        out += ["", "_No analyzable Go files changed._"]
+        parts.append(["No Go file that can be measured has changed."])
     if r.skipped:
-        named = ", ".join(f"`{inline(s['path'])}` ({s['reason']})" for s in r.skipped)
-        out += ["", f"_{len(r.skipped)} path(s) skipped: {named}._"]
-    return "\n".join(out) + "\n"
+        parts.append(["Left out: " + ", ".join(f"{code(s['path'])} ({s['reason']})" for s in r.skipped)])
+    return "\n\n".join("\n".join(p) for p in parts) + "\n"
 
 
 def history_table(points: list[dict]) -> str:
-    return table(["SHA", "DATE", "FILES", "S", "SUBJECT"], [[p["short_sha"], p["commit_time"][:10], str(p["n_files"]), f"{p['s']:.2f}", p["subject"]] for p in points])
+    return columns([["SHA", "DATE", "FILES", "S", "SUBJECT"], *([p["short_sha"], p["commit_time"][:10], str(p["n_files"]), f"{p['s']:.2f}", p["subject"]] for p in points)])
 
 
 def history_json(ref: str, points: list[dict]) -> str:

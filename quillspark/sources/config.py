@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from dataclasses import dataclass, field
 
 from quillspark.functions.classes import parse
 from quillspark.operators.calibrate import Calibration, Fit
+from quillspark.operators.features import extra_weights
 
-CONFIG_NAME, CACHE_NAME, CACHE_VERSION = ".quillspark.yaml", ".quillspark.cache.json", 1
+CONFIG_NAME, CACHE_NAME, CACHE_VERSION = ".quillspark.yaml", ".quillspark.cache.json", 3
 
 
 @dataclass
 class Config:
-    """Defaults are fixed values of the model."""
+    """The defaults of the model. Features that are registered beside them add their own weights."""
 
     weights: dict[str, float] = field(
-        default_factory=lambda: {"cyclomatic": 1.0, "nesting": 0.8, "coupling": 0.6, "length": 0.5, "duplication": 0.7, "cross_duplication": 0.7}
+        default_factory=lambda: {"cyclomatic": 1.0, "nesting": 0.8, "coupling": 0.6, "length": 0.5, "duplication": 0.7, "cross_duplication": 0.7} | extra_weights()
     )
     delta_s_max: float = 0.05
     churn_since_days: int = 90
@@ -87,22 +89,26 @@ def load_config(path: str) -> Config:
     return config
 
 
-def save_calibration(path: str, cal: Calibration) -> None:
-    state = {"version": CACHE_VERSION, "k": cal.k, "alpha": cal.alpha, "microstates": {n: {"mu": f.mu, "sigma": f.sigma, "valid": f.valid} for n, f in cal.fits.items()}}
+def weights_hash(weights: dict[str, float]) -> str:
+    """Tells sets of weights apart: k is the scale of one of them only."""
+    return hashlib.sha256(json.dumps(sorted(weights.items())).encode()).hexdigest()
+
+
+def save_calibration(path: str, cal: Calibration, weights: dict[str, float]) -> None:
+    fits = [[name, fit.mu, fit.sigma, fit.valid] for name, fit in cal.fits.items()]
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(state, f, indent=2)
+        json.dump({"format": CACHE_VERSION, "weights": weights_hash(weights), "scale": cal.k, "churn_weight": cal.alpha, "fits": fits}, f, indent=1)
 
 
-def load_calibration(path: str, needed: list[str]) -> Calibration | None:
-    """The stored calibration, None if there is none, it is of another version, or a feature is missing from it."""
-    if not os.path.exists(path):
-        return None
+def load_calibration(path: str, weights: dict[str, float]) -> Calibration | None:
+    """The stored calibration, None if there is none, it is of another format or other weights, or a feature is missing from it."""
     try:
         with open(path, encoding="utf-8") as f:
-            state = json.load(f)
-    except ValueError:
-        return None
-    if state.get("version") != CACHE_VERSION or any(n not in state.get("microstates", {}) for n in needed):
+            held = json.load(f)
+        if held["format"] != CACHE_VERSION or held["weights"] != weights_hash(weights):
+            return None
+        fits = {name: Fit(float(mu), float(sigma), bool(valid)) for name, mu, sigma, valid in held["fits"]}
+        cal = Calibration(fits, float(held["scale"]), float(held["churn_weight"]))
+    except (OSError, ValueError, KeyError, TypeError):
         return None
-    fits = {n: Fit(float(p["mu"]), float(p["sigma"]), bool(p["valid"])) for n, p in state["microstates"].items()}
-    return Calibration(fits, float(state["k"]), float(state["alpha"]))
+    return cal if all(n in fits for n in weights) else None

@@ -1,4 +1,4 @@
-"""Git history as relations. Listing and diff run on the driver, one process each; contents are read by the tasks."""
+"""Git history as relations. A diff and the log run on the driver, one process each; trees and contents are read by the tasks."""
 
 from __future__ import annotations
 
@@ -14,7 +14,19 @@ from quillspark.operators.paths import is_analyzable
 
 
 class GitError(RuntimeError):
-    """Git isn't there, or a ref or path isn't."""
+    """A git command failed."""
+
+
+class GitMissing(GitError):
+    """There is no git."""
+
+
+class RefUnknown(GitError):
+    """A ref that names no commit."""
+
+
+class PathAbsent(GitError):
+    """A path that a ref lacks, or that is no file there."""
 
 
 @dataclass(frozen=True)
@@ -27,7 +39,7 @@ class Git:
         try:
             done = subprocess.run(["git", "-C", self.root, *args], input=stdin, capture_output=True, env=os.environ | {"LC_ALL": "C"}, check=False)
         except FileNotFoundError as e:
-            raise GitError("git is not available") from e
+            raise GitMissing("no git program was found") from e
         if done.returncode:
             raise GitError(done.stderr.decode(errors="replace").strip())
         return done.stdout
@@ -36,8 +48,10 @@ class Git:
 def resolve(git: Git, rev: str) -> str:
     try:
         return git.run("rev-parse", "--verify", "--quiet", f"{rev}^{{commit}}").decode().strip()
+    except GitMissing:
+        raise
     except GitError as e:
-        raise GitError(f"invalid ref {rev!r}") from e
+        raise RefUnknown(f"{rev!r} names no commit") from e
 
 
 def parse_raw(raw: bytes) -> list[dict]:
@@ -99,6 +113,16 @@ def patches(git: Git, base: str, head: str) -> dict[str, str]:
     return out
 
 
+def parse_tree(raw: bytes) -> list[tuple[str, str]]:
+    """(path, object id) of the blobs in `ls-tree -r -z`."""
+    out = []
+    for record in raw.decode("utf-8", "surrogateescape").split("\0"):
+        head, tab, path = record.partition("\t")
+        if tab and head.split()[1:2] == ["blob"]:
+            out.append((path, head.split()[2]))
+    return out
+
+
 def tree(git: Git, ref: str) -> list[str]:
     raw = git.run("ls-tree", "-r", "-z", "--name-only", ref)
     return [p for p in raw.decode("utf-8", "surrogateescape").split("\0") if p]
@@ -157,6 +181,41 @@ def contents(listing: DataFrame, root: str) -> DataFrame:
     return listing.repartitionByRange("ref", "path").select("frame", "ref", "name", "path").mapInArrow(fetch, "frame string, path string, src binary")
 
 
+def file_at(git: Git, ref: str, path: str) -> bytes:
+    """The content of one file at a ref. `RefUnknown` and `PathAbsent` tell the two ways to miss it apart; `GitMissing` is neither."""
+    sha = resolve(git, ref)
+    found = blobs(git, sha, [path])
+    if path not in found:
+        raise PathAbsent(f"{path!r} isn't a file at {ref!r}")
+    return found[path]
+
+
+def listed(commits: DataFrame, root: str) -> DataFrame:
+    """sha, path, blob: the analysable files of each commit (column sha), listed by the tasks, one process a commit."""
+    git = Git(root)
+
+    def trees(batches):
+        for batch in batches:
+            for sha in batch.column(0).to_pylist():
+                rows = [r for r in parse_tree(git.run("ls-tree", "-r", "-z", sha)) if is_analyzable(r[0])]
+                yield pa.RecordBatch.from_arrays([pa.array([sha] * len(rows), pa.string()), pa.array([p for p, _ in rows], pa.string()), pa.array([b for _, b in rows], pa.string())], ["sha", "path", "blob"])
+
+    return commits.select("sha").distinct().repartition("sha").mapInArrow(trees, "sha string, path string, blob string")
+
+
+def blob_contents(ids: DataFrame, root: str) -> DataFrame:
+    """blob, src of object ids (column blob), each read once, by the tasks: one process for a batch."""
+    git = Git(root)
+
+    def fetch(batches):
+        for batch in batches:
+            wanted = batch.column(0).to_pylist()
+            found = parse_batch(git.run("cat-file", "--batch", stdin="".join(f"{b}\n" for b in wanted).encode()), wanted) if wanted else {}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.binary())], ["blob", "src"])
+
+    return ids.select("blob").distinct().mapInArrow(fetch, "blob string, src binary")
+
+
 def log(git: Git, ref: str, limit: int, first_parent: bool = False) -> list[dict]:
     """The newest commits, oldest first."""
     if limit <= 0:

@@ -7,58 +7,44 @@ of the tree has that method, and a switch is over an enum when one of its cases
 
 from __future__ import annotations
 
+import bisect
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.sources.golex import GoSyntaxError
+from quillspark.sources.golex import GoSyntaxError, lex
 from quillspark.sources.goparse import Node, parse
 
 FACT = "path string, pkg string, fact string, a string, b string, c string, d string, pos bigint, params array<string>, flag boolean"
 _NAMES = ["path", "pkg", "fact", "a", "b", "c", "d", "pos", "params", "flag"]
 
 
-def type_key(t: Node | None) -> str:
-    """A type as text; struct, interface and function types by their counts."""
-    if t is None:
-        return ""
-    k = t.kind
-    if k == "Ident":
-        return t.op
-    if k == "ParenExpr":
-        return type_key(t["x"])
-    if k == "StarExpr":
-        return "*" + type_key(t["x"])
-    if k == "SelectorExpr":
-        return type_key(t["x"]) + "." + t["sel"].op
-    if k == "Ellipsis":
-        return "..." + type_key(t["elt"])
-    if k == "ArrayType":
-        return ("[N]" if t["len"] is not None else "[]") + type_key(t["elt"])
-    if k == "MapType":
-        return f"map[{type_key(t['key'])}]{type_key(t['value'])}"
-    if k == "ChanType":
-        return {"send": "chan<- ", "recv": "<-chan "}.get(t.op, "chan ") + type_key(t["value"])
-    if k == "StructType":
-        return f"struct{{{len(t['fields'].children)}}}"
-    if k == "InterfaceType":
-        return f"interface{{{len(t['methods'].children)}}}"
-    if k == "FuncType":
-        return f"func({_n(t['params'])})({_n(t['results'])})"
-    if k == "IndexExpr":
-        return f"{type_key(t['x'])}[{type_key(t['index'])}]"
-    if k == "IndexListExpr":
-        return f"{type_key(t['x'])}[{','.join(map(type_key, t['indices']))}]"
-    return k
-
-
-def _n(fields: Node | None) -> int:
-    return len(fields.children) if fields is not None else 0
-
-
-def flat_params(fields: Node | None) -> list[str]:
-    """One type per parameter: `a, b int` gives two."""
-    return [type_key(f["type"]) for f in (fields["fields"] if fields else []) for _ in (f["names"] or [None])]
+class Types:
+    """The text of types: their source without comments and with one space where there was white space between words.
+
+    Two types are equal as texts exactly if their tokens are.
+    """
+
+    def __init__(self, src: str):
+        self.tokens = [t for t in lex(src) if t.text.strip() not in ("", ";")]
+        self.starts = [t.pos for t in self.tokens]
+
+    def of(self, node: Node | None) -> str:
+        if node is None:
+            return ""
+        a, b = bisect.bisect_left(self.starts, node.pos), bisect.bisect_left(self.starts, node.end)
+        out = ""
+        for text in (t.text for t in self.tokens[a:b]):
+            out += " " + text if out and (out[-1].isalnum() or out[-1] == "_") and (text[0].isalnum() or text[0] == "_") else text
+        return out
+
+    def each(self, fields: Node | None) -> list[str]:
+        """One type per parameter: `a, b int` gives two."""
+        return [self.of(f["type"]) for f in (fields["fields"] if fields else []) for _ in (f["names"] or [None])]
+
+    def signature(self, t: Node) -> str:
+        return f"({','.join(self.each(t['params']))})({','.join(self.each(t['results']))})"
 
 
 def receiver(fields: Node | None) -> str:
@@ -71,16 +57,12 @@ def receiver(fields: Node | None) -> str:
     return t.op if t.kind == "Ident" else ""
 
 
-def _signature(t: Node) -> str:
-    return f"({','.join(flat_params(t['params']))})({','.join(flat_params(t['results']))})"
-
-
 def _exported(name: str) -> bool:
     return name[:1].isupper()
 
 
 def facts_of(path: str, src: str, module: str = "") -> list[dict]:
-    tree = parse(src)
+    tree, types = parse(src), Types(src)
     folder = path.rpartition("/")[0]
     pkg = folder or tree["name"].op
     out: list[dict] = []
@@ -92,9 +74,9 @@ def facts_of(path: str, src: str, module: str = "") -> list[dict]:
     for decl in tree["decls"]:
         if decl.kind == "FuncDecl":
             recv = receiver(decl["recv"])
-            add("func", recv, decl["name"].op, _signature(decl["type"]), pos=decl.pos, params=flat_params(decl["type"]["params"]), flag=_exported(decl["name"].op))
+            add("func", recv, decl["name"].op, types.signature(decl["type"]), pos=decl.pos, params=types.each(decl["type"]["params"]), flag=_exported(decl["name"].op))
             if recv:
-                add("method", recv, decl["name"].op, _signature(decl["type"]))
+                add("method", recv, decl["name"].op, types.signature(decl["type"]))
         elif decl.op == "import":
             for spec in decl["specs"]:
                 target = spec["path"]["text"].strip('"`')
@@ -107,24 +89,24 @@ def facts_of(path: str, src: str, module: str = "") -> list[dict]:
                 if t.kind == "InterfaceType":
                     for f in t["methods"]["fields"]:
                         for name in f["names"] or []:
-                            add("iface_method", spec["name"].op, name.op, _signature(f["type"]))
+                            add("iface_method", spec["name"].op, name.op, types.signature(f["type"]))
                 elif t.kind == "StructType":
                     for f in t["fields"]["fields"]:
                         if not f["names"]:
-                            add("embed", spec["name"].op, type_key(f["type"]).lstrip("*"))
+                            add("embed", spec["name"].op, types.of(f["type"]).lstrip("*"))
         else:
             last = None
             for spec in decl["specs"]:
                 if spec["type"] is not None or spec["values"]:
                     last = spec["type"]
                 for name in spec["names"]:
-                    add(decl.op, name.op, type_key(last) if decl.op == "const" else "", pos=spec.pos, flag=_exported(name.op))
+                    add(decl.op, name.op, types.of(last) if decl.op == "const" else "", pos=spec.pos, flag=_exported(name.op))
     prefix = f"{module}/" if module else ""
     stack: list[tuple[Node, Node | None]] = [(tree, None)]
     while stack:
         node, parent = stack.pop()
         if node.kind == "SwitchStmt" and node["tag"] is not None:
-            labels = [type_key(x) for clause in node["body"].children for x in clause["list"]]
+            labels = [types.of(x) for clause in node["body"].children for x in clause["list"]]
             add("switch", pos=node.pos, params=labels)
         if node.kind == "SelectorExpr":
             if node["x"].kind == "Ident" and node["x"].op in imports:

@@ -130,31 +130,62 @@ end:
     assert rows[-1]["kind"] == "File" and rows[-1]["size"] == len(rows)
 
 
-INNER = "for i := 0; i < n; i++ {\n\tacc = acc + i*i\n\tacc = acc - i\n\ttotal = total + acc\n}\n"
+# 23 nodes: the loop 1, k := n 3, k > 0 3, k-- 2, its block 1, two calls with one argument 4 each, one with two 5
+LOOP = "for k := n; k > 0; k-- {\n\tprintln(k)\n\tprintln(n)\n\tprintln(k, acc)\n}\n"
+# 28 nodes: the branch 1, n > 3 3, its block 1, the loop 23
+BRANCH = "if n > 3 {\n" + LOOP + "}\n"
 
 
 def clone_file(*parts):
     return "package p\n\nfunc f(n, acc, total int) {\n" + "".join(parts) + "}\n"
 
 
-OUTER = "if n > 0 {\n" + INNER + "}\n"
-
-
-@pytest.mark.parametrize("z", [clone_file(OUTER, INNER), clone_file(INNER, OUTER)])
+@pytest.mark.parametrize("z", [clone_file(BRANCH, LOOP), clone_file(LOOP, BRANCH)])
 def test_cross_file_masses(spark, z):
     from quillspark.sources import gosrc
 
-    files = [("t", "a_outer.go", clone_file("_ = 1\n", OUTER)), ("t", "b_inner.go", clone_file("x := 1\n_ = x\n", INNER)), ("t", "z.go", z)]
+    files = [("t", "a_outer.go", clone_file("_ = 1\n", BRANCH)), ("t", "b_inner.go", clone_file("x := 1\n_ = x\n", LOOP)), ("t", "z.go", z)]
     df = spark.createDataFrame([(f, p, bytearray(s.encode())) for f, p, s in files], "frame string, path string, src binary")
     got = {r.path: r.cross_duplication for r in gosrc.features(gosrc.parsed(df)).collect()}
-    assert got == {"a_outer.go": 0, "b_inner.go": 27, "z.go": 59}
+    assert got == {"a_outer.go": 0, "b_inner.go": 23, "z.go": 28 + 23}
 
 
 def test_intra_file_mass_survives_renaming(spark):
     from quillspark.sources import gosrc
 
-    renamed = INNER.replace("acc", "sum").replace("total", "all").replace("i*i", "i*i /* note */")
-    once, twice, thrice = clone_file(INNER), clone_file(INNER, renamed), clone_file(INNER, renamed, INNER)
+    renamed = LOOP.replace("acc", "total").replace("k", "left").replace("println(n)", "print(n) /* note */")
+    once, twice, thrice = clone_file(LOOP), clone_file(LOOP, renamed), clone_file(LOOP, renamed, LOOP)
     df = spark.createDataFrame([("t", p, bytearray(s.encode())) for p, s in (("1.go", once), ("2.go", twice), ("3.go", thrice), ("bad.go", "package"))], "frame string, path string, src binary")
     got = {r.path: r.duplication for r in gosrc.features(gosrc.parsed(df), cross=False).collect()}
-    assert got == {"1.go": 0, "2.go": 27, "3.go": 54}
+    assert got == {"1.go": 0, "2.go": 23, "3.go": 46}
+
+
+def test_subtree_sizes_and_digests():
+    """Sizes worked out by hand; digests ignore names and literal values, but not operators and literal kinds."""
+    rows = {(r["kind"], r["size"]): r["digest"] for r in rows_of(parse(clone_file(LOOP)))}
+    assert {("ForStmt", 23), ("AssignStmt", 3), ("BinaryExpr", 3), ("IncDecStmt", 2), ("CallExpr", 4)} <= set(rows)
+    digest = lambda text: next(r["digest"] for r in rows_of(parse(clone_file(text))) if r["kind"] == "AssignStmt")
+    assert digest("x := a + 1\n") == digest("y := b + 22\n") == digest("z /* c */ := q+3\n")
+    assert len({digest(t) for t in ("x := a + 1\n", "x := a - 1\n", "x = a + 1\n", "x := a + 1.5\n", "x := a + b\n")}) == 5
+
+
+def test_type_texts():
+    from quillspark.sources.gofacts import facts_of
+
+    src = """package p
+
+func (r *Box[K]) M(a, b map[string] /* c */ int, f func(int) (x bool), rest ...pkg.T) (<-chan int, error) { return nil, nil }
+func F(s struct {
+	A int
+	B string
+}, t struct{ A int; B string }) {}
+
+type I interface { M(a map[string]int) ; ~int }
+type S struct { *Base ; pkg.Other }
+"""
+    facts = facts_of("d/x.go", src)
+    funcs = {f["b"]: f["params"] for f in facts if f["fact"] == "func"}
+    assert funcs["M"] == ["map[string]int", "map[string]int", "func(int)(x bool)", "...pkg.T"]
+    assert funcs["F"][0] == funcs["F"][1]
+    assert [f["b"] for f in facts if f["fact"] == "embed"] == ["Base", "pkg.Other"]
+    assert next(f["c"] for f in facts if f["fact"] == "func" and f["b"] == "M").endswith("(<-chan int,error)")

@@ -169,3 +169,41 @@ def test_rollup_helpers(spark):
     assert got == {"": (1.05, 2), "a": (1.05, 2), "a/b": (1.0, 1)}
     for n, want in ((100, 95.0), (30, 29.0)):
         assert rollup.nearest_rank(spark.range(1, n + 1).select(F.col("id").cast("double").alias("v")), "v", 0.95).first().p == want
+
+
+@pytest.mark.parametrize("values", [[], [3.0], [2.0, 2.0, 2.0], [1.0, 2.0], [5.0, 1.0, 4.0], [0.0, -0.0, 1e-300, 1e300, -1e300], [float(i % 7) for i in range(100)], [1.0, 1.0 + 2**-52, 1.0 + 2**-51], [0.1 * i * i for i in range(501)]])
+def test_ranks(spark, values):
+    import statistics
+
+    from quillspark.operators import ranks
+
+    df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double").repartition(3)
+    assert ranks.median(df, "v") == (statistics.median(values) if values else None)
+    for p in (0.0, 0.3, 0.95, 1.0):
+        want = sorted(values)[max(1, math.ceil(p * len(values) - 1e-12)) - 1] if values else None
+        assert ranks.nearest_rank(df, "v", p) == want
+
+
+def test_deep_and_cyclic_embedding(spark):
+    links = [(f"T{i}", f"T{i + 1}") for i in range(40)] + [("A", "B"), ("B", "A"), ("T40", "A")]
+    embeds = spark.createDataFrame(links, "type_id string, embedded_id string")
+    methods = spark.createDataFrame([("B", "Get", "()", "b.go")], "type_id string, name string, sig string, path string")
+    assert {r.type_id for r in detectors.promoted(methods, embeds).collect()} == {"A", "B"} | {f"T{i}" for i in range(41)}
+    assert detectors.promoted(methods, embeds.limit(0)).count() == 1
+
+
+def test_line_masses(spark):
+    rows = [(1, "a", 20, 0), (1, "a", 20, 1), (2, "a", 20, 0), (2, "b", 30, 1), (3, "b", 30, 0), (3, "b", 30, 4), (4, "c", 15, 0), (4, "d", 5, 1), (5, "d", 5, 1)]
+    df = spark.createDataFrame([(u, d, s, p, p) for u, d, s, p in rows], "u int, digest string, size int, pos long, end long")
+    got = {r.u: (r.intra, r.cross) for r in clones.line_masses(df, "u").collect() if r.intra or r.cross}
+    assert got == {1: (20, 0), 2: (0, 20), 3: (30, 30)}
+    own = {r.u: r.mass for r in clones.intra_mass(df, ["u"]).collect()}
+    cross = {r.u: r.mass for r in clones.cross_mass(df, "u").collect()}
+    assert got == {u: (own.get(u, 0), cross.get(u, 0)) for u in own.keys() | cross.keys()}
+
+
+@pytest.mark.parametrize(("before", "after", "want"), [(8.0, 2.0, -1.0), (2.0, 8.0, 0.0), (4.0, 4.0, 0.0), (4.0, 0.0, 0.0), (0.0, 0.0, 0.0)])
+def test_downgrade_bonus(spark, before, after, want):
+    totals = delta.total(spark.createDataFrame([("x", "modified", 0.0, 3.0, 3.0)], "path string, kind string, s_base double, s_head double, delta double"), 10)
+    row = delta.with_bonus(totals, delta.downgrade_bonus(F.lit(before), F.lit(after))).first()
+    assert (row.bonus, row.total, row.density) == (want, 3.0 + want, pytest.approx((3.0 + want) / 10))

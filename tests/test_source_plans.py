@@ -79,11 +79,65 @@ def test_check(spark, repo):
     hits = text.hits_above_lowest(r)
     assert [(h["detector"], h["path"], h["size"]) for h in hits] == [("state_multiplier", "api/api.go", 2)]
     assert r.failed and r.scaling_class == 4 and any("O(2ⁿ)" in x for x in r.reasons)
-    assert text.check_table(r).startswith("FAIL  ΔS_total=")
+    first, *rest = text.check_table(r).splitlines()
+    assert first.split("  ")[0] == "FAIL" and [x.split("=")[0] for x in first.split("  ")[1:]] == list(text.STATUS_FIELDS)
+    assert any(x.split()[:4] == ["state_multiplier", "O(2ⁿ)", "2", "api/api.go"] for x in rest)
     shown = json.loads(text.check_json(r))
     assert shown["verdict"] == "fail" and shown["result"]["scaling"]["class"] == "O(2ⁿ)"
     md = text.check_markdown(r)
-    assert md.startswith(text.MARKER) and "### Changed files" in md and "`data.bin` (binary)" in md
+    assert md.startswith(text.MARKER) and "`data.bin` (binary)" in md and "| `a.go` | modified |" in md
+    assert shown["result"]["scaling"]["downgrade_bonus"] == 0.0
+
+
+def test_check_with_a_downgrade(spark, repo):
+    from quillspark.plans.source import check
+    from quillspark.sources.config import Config
+
+    plain = check(spark, G.Git(str(repo)), "dev", "work")
+    better = check(spark, G.Git(str(repo)), "dev", "work", Config(scaling_bonus_beta=0.25), downgrade=(16.0, 2.0))
+    assert better.downgrade_bonus == -0.75 and better.total == pytest.approx(plain.total - 0.75)
+    assert better.density == pytest.approx(better.total / better.lines_changed)
+    worse = check(spark, G.Git(str(repo)), "dev", "work", downgrade=(2.0, 16.0))
+    assert worse.downgrade_bonus == 0.0 and worse.total == pytest.approx(plain.total)
+
+
+def test_registered_feature(spark, repo):
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import features
+    from quillspark.plans.source import scan
+    from quillspark.sources.config import Config
+
+    with pytest.raises(ValueError):
+        features.register("nesting")(lambda files: files)
+
+    @features.register("returns", weight=2.0)
+    def returns(files):
+        return files.select("frame", "path", F.size(F.filter("nodes", lambda n: n["kind"] == "ReturnStmt")).alias("value"))
+
+    try:
+        assert Config().weights["returns"] == 2.0
+        rows = {r.path: r for r in scan(spark, str(repo)).collect()}
+        assert all("returns" in r.contributions for r in rows.values()) and rows["a.go"].contributions["returns"] > 0
+        off = scan(spark, str(repo), Config(weights=Config().weights | {"returns": 0.0})).first()
+        assert "returns" not in off.contributions
+    finally:
+        del features.REGISTRY["returns"]
+    assert "returns" not in Config().weights
+
+
+def test_file_at_ref(repo, monkeypatch):
+    g = G.Git(str(repo))
+    assert G.file_at(g, "dev", "a.go").decode() == CALIB["a.go"]
+    with pytest.raises(G.PathAbsent):
+        G.file_at(g, "work", "c.go")
+    with pytest.raises(G.PathAbsent):
+        G.file_at(g, "work", "api")
+    with pytest.raises(G.RefUnknown):
+        G.file_at(g, "nowhere", "a.go")
+    monkeypatch.setenv("PATH", "")
+    with pytest.raises(G.GitMissing):
+        G.file_at(g, "dev", "a.go")
 
 
 def test_history(spark, repo):
@@ -144,7 +198,12 @@ def test_sarif_and_tables():
     assert levels == ["note" if f["t"] < 1.5 else "warning" for f in FILES if f["t"] >= 1.0]
     assert json.loads(text.scan_json(FILES))[1]["path"] == "d1/f1.go"
     assert text.scan_table(FILES).splitlines()[0].split() == ["PATH", "S", "T", "DOMINANT"]
-    assert text.cell("a|b`c\n") == "a\\|bˋc "
+    assert text.code("a|b\n") == "`a\\|b`" and text.code("a`b") == "``a`b``" and text.code("`a") == "`` `a ``" and text.code("a\nb") == "`a b`"
+    rule = log["runs"][0]["tool"]["driver"]["rules"][0]
+    assert rule["fullDescription"]["text"] and rule["help"]["text"] and "helpUri" not in rule
+    named = json.loads(text.scan_sarif(FILES, "1", uri="https://docs.example/x"))["runs"][0]["tool"]["driver"]
+    assert named["informationUri"] == named["rules"][0]["helpUri"] == "https://docs.example/x"
+    assert all(r["level"] == "error" for r in json.loads(text.scan_sarif(FILES, "1", error=1.0))["runs"][0]["results"])
 
 
 def test_config_and_cache(tmp_path):
@@ -161,11 +220,16 @@ def test_config_and_cache(tmp_path):
     with pytest.raises(ValueError):
         load_config(str(f))
     cal = Calibration({"length": Fit(1.0, 2.0, True), "nesting": Fit()}, 3.0)
-    save_calibration(str(tmp_path / "k.json"), cal)
-    assert load_calibration(str(tmp_path / "k.json"), ["length", "nesting"]) == cal
-    assert load_calibration(str(tmp_path / "k.json"), ["coupling"]) is None
-    (tmp_path / "k.json").write_text('{"version": 2}')
-    assert load_calibration(str(tmp_path / "k.json"), []) is None
+    k, two = str(tmp_path / "k.json"), {"length": 1.0, "nesting": 0.5}
+    save_calibration(k, cal, two)
+    assert load_calibration(k, two) == cal and load_calibration(k, dict(reversed(two.items()))) == cal
+    assert load_calibration(k, two | {"nesting": 0.6}) is None and load_calibration(k, {"length": 1.0}) is None
+    save_calibration(k, cal, two | {"coupling": 1.0})
+    assert load_calibration(k, two | {"coupling": 1.0}) is None
+    for broken in ('{"format": 2}', "[]", "{", '{"format": 3, "weights": 1}'):
+        (tmp_path / "k.json").write_text(broken)
+        assert load_calibration(k, two) is None
+    assert load_calibration(str(tmp_path / "none.json"), two) is None
 
 
 def test_command_line(spark, repo):
