@@ -11,9 +11,13 @@ per unit.  This module moves far less and stays exact:
    document that holds it.  Each document cuts out the segments around its anchors of one block and
    sends them there: windows that are equal meet in one block, whoever else holds them.
 3. The caller decides inside a block which windows repeat an earlier document's.
+4. *Hot anchors.*  What more than `HOT` different texts hold is dealt to chunks, and the owner's segments go to each of
+   them: the caller decides each chunk alone.  Windows that nothing in the chunk repeats, mostly those that reach beyond
+   a shared passage, are then compared by 128 bits of hash across chunks, where the smallest document that holds
+   one is a grouped minimum.  It is never missing there, as nothing smaller can have settled it in its chunk.
 
 Exact copies of a text are settled by a grouped minimum beforehand, so that a large group of copies
-sends one document's segments only.
+sends one document's segments only; copies in one batch send one document's anchors.
 """
 
 from __future__ import annotations
@@ -32,6 +36,10 @@ from quillspark.llm._common import bucket_of, by_bucket, dealt, first_per_value,
 #: Bytes of documents handled at once, and units of one text.
 SLICE = 1 << 20
 PIECE = 1 << 21
+#: Texts of one chunk, about, where more of them hold an anchor.
+HOT = 512
+#: Anchors packed at once, and read at once from a bucket.
+PACKED = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -112,55 +120,92 @@ def binary_column(column: pa.Array) -> list[bytes]:
 def _find(units: Units, buckets: int):
     """Documents to anchors, packed by hash bucket."""
 
+    def packed(got: list) -> pa.RecordBatch:
+        h, at, doc, crc = (np.concatenate(x) for x in zip(*got, strict=True))
+        bucket = bucket_of(h, buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        begin = first_per_value(bucket)
+        rows = []
+        for a, b in zip(begin, [*begin[1:], len(order)], strict=True):
+            o = order[a:b]
+            new = np.concatenate(([True], (doc[o][1:] != doc[o][:-1]) | (crc[o][1:] != crc[o][:-1])))
+            first = np.flatnonzero(new)
+            held = np.diff(np.append(first, len(o))).astype(np.uint32)
+            six = h[o].view(np.uint8).reshape(-1, 8)[:, 2:].reshape(-1)
+            rows.append(pack(six, at[o].astype(np.uint32), doc[o][first], crc[o][first], held))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.array(rows, pa.binary())], ["bucket", "blob"])
+
     def run(batches):
+        got, size = [], 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), binary_column(batch.column(1))
-            got = []
-            for some, part in slices(ids, texts):
+            texts = binary_column(batch.column(1))
+            smallest: dict[bytes, int] = {}
+            for i, t in zip(batch.column(0).to_pylist(), texts, strict=True):
+                smallest[t] = min(i, smallest.get(t, i))
+            for some, part in slices(list(smallest.values()), list(smallest)):
                 unit, bounds = units.hashes(part)
                 at, h = anchors(unit, bounds, units.window, units.gram)
                 doc = np.searchsorted(bounds, at, side="right") - 1
                 got.append((h, at - bounds[doc], np.asarray(some, np.int64)[doc], np.fromiter(map(zlib.crc32, part), np.uint32, len(part))[doc]))
-            if not got:
-                continue
-            h, at, doc, crc = (np.concatenate(x) for x in zip(*got, strict=True))
-            bucket = bucket_of(h, buckets)
-            order = np.argsort(bucket, kind="stable")
-            bucket = bucket[order]
-            begin = first_per_value(bucket)
-            rows = []
-            for a, b in zip(begin, [*begin[1:], len(order)], strict=True):
-                o = order[a:b]
-                new = np.concatenate(([True], (doc[o][1:] != doc[o][:-1]) | (crc[o][1:] != crc[o][:-1])))
-                first = np.flatnonzero(new)
-                held = np.diff(np.append(first, len(o))).astype(np.uint32)
-                six = h[o].view(np.uint8).reshape(-1, 8)[:, 2:].reshape(-1)
-                rows.append(pack(six, at[o].astype(np.uint32), doc[o][first], crc[o][first], held))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[begin]), pa.array(rows, pa.binary())], ["bucket", "blob"])
+                size += len(h)
+                if size >= PACKED:
+                    yield packed(got)
+                    got, size = [], 0
+        if size:
+            yield packed(got)
 
     return run
 
 
-def _own(block: int, groups: int):
+def _own(block: int, groups: int, hot: int):
     """One hash bucket's anchors: those of two documents or more, each with its owner block."""
 
     def run(batches):
         for blobs in by_bucket(batches):
-            if (out := _owned(blobs, block, groups)) is not None:
-                yield out
+            pieces = 1 + sum(len(b[1]) for b in blobs) // PACKED
+            for piece in range(pieces):
+                if (out := _owned(blobs, block, groups, hot, piece, pieces)) is not None:
+                    yield out
 
     return run
 
 
-def _owned(blobs: list, block: int, groups: int) -> pa.RecordBatch | None:
+def _chunked(base: np.ndarray, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, crc: np.ndarray, owner: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of entries and their keys: even for anchors of a block, odd for a chunk of a hot one; the owner has all chunks."""
+    even = base & ~np.uint64(1)
+    places, keys = [np.arange(len(base))], [even]
+    cold = np.ones(len(base), bool)
+    for a, n in zip(begin[size > hot].tolist(), size[size > hot].tolist(), strict=True):
+        texts = len(np.unique(crc[a : a + n]))
+        if texts <= hot:
+            continue
+        chunks = 1 << ((texts - 1) // hot).bit_length()
+        cold[a : a + n] = False
+        at = np.arange(a, a + n)
+        own = doc[at] == owner[at]
+        chunk = mix64(doc[at].view(np.uint64)) % np.uint64(chunks)
+        places += [at[~own], np.repeat(at[own], chunks)]
+        chunk = np.concatenate((chunk[~own], np.tile(np.arange(chunks, dtype=np.uint64), int(own.sum()))))
+        with np.errstate(over="ignore"):
+            keys.append(mix64(np.concatenate((base[at[~own]], np.repeat(base[at[own]], chunks))) + np.uint64(0x9E3779B97F4A7C15) * (chunk + np.uint64(1))) | np.uint64(1))
+    if len(places) > 1:
+        places[0], keys[0] = places[0][cold], keys[0][cold]
+    return np.concatenate(places), np.concatenate(keys)
+
+
+def _owned(blobs: list, block: int, groups: int, hot: int, piece: int, pieces: int) -> pa.RecordBatch | None:
     parts = []
     for six, at, doc, crc, held in blobs:
         h = np.zeros((len(at), 8), np.uint8)
         h[:, :6] = six.reshape(-1, 6)
         h = h.reshape(-1).view(np.uint64) << np.uint64(16)
-        parts.append((h, at, np.repeat(doc, held), np.repeat(crc, held)))
+        here = (h >> np.uint64(24)) % np.uint64(pieces) == piece if pieces > 1 else slice(None)
+        parts.append((h[here], at[here], np.repeat(doc, held)[here], np.repeat(crc, held)[here]))
     h, at, doc, crc = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
+    if not len(h):
+        return None
     h, order = ordered(h)
     at, doc, crc = at[order].astype(np.int64), doc[order], crc[order]
     begin = first_per_value(h)
@@ -169,11 +214,14 @@ def _owned(blobs: list, block: int, groups: int) -> pa.RecordBatch | None:
     shared = np.repeat(owner != np.maximum.reduceat(doc, begin), size)
     owner = np.repeat(owner, size)
     first = np.repeat(np.minimum.reduceat(np.where(doc == owner, at, np.int64(1) << 62), begin), size)
-    with np.errstate(over="ignore"):
-        key = mix64(mix64(owner.view(np.uint64)) + (first // block).astype(np.uint64))[shared]
-    at, doc, crc = at[shared], doc[shared], crc[shared]
-    if not len(at):
+    if not shared.any():
         return None
+    with np.errstate(over="ignore"):
+        base = mix64(mix64(owner.view(np.uint64)) + (first // block).astype(np.uint64))[shared]
+    at, doc, crc, owner = at[shared], doc[shared], crc[shared], owner[shared]
+    size = size[shared[begin]]
+    place, key = _chunked(base, np.cumsum(size) - size, size, doc, crc, owner, hot)
+    at, doc, crc = at[place], doc[place], crc[place]
     group = group_of(doc, groups)
     order = np.lexsort((at, crc, doc, group))
     group, at, doc, crc, key = group[order], at[order], doc[order], crc[order], key[order]
@@ -281,19 +329,60 @@ def _segments(units: Units):
 CHUNK = 3 << 19
 
 
-def _decide(settle: Callable, groups: int):
-    """Gathers whole blocks and packs the spans that `settle` finds by document group."""
+def _by_group(doc, crc, a, b, groups: int) -> pa.RecordBatch:
+    """Spans, packed by document group."""
+    group = group_of(doc, groups)
+    order = np.lexsort((a, crc, doc, group))
+    group, doc, crc, a, b = group[order], doc[order], crc[order], a[order], b[order]
+    begin = first_per_value(group)
+    blobs = [pack(a[x:y].astype(np.uint32), b[x:y].astype(np.uint32), doc[x:y], crc[x:y].astype(np.uint32), np.ones(y - x, np.uint32)) for x, y in zip(begin, [*begin[1:], len(group)], strict=True)]
+    n = len(blobs)
+    return pa.RecordBatch.from_arrays([pa.array(group[begin].astype(np.int32)), pa.nulls(n, pa.int32()), pa.array(blobs, pa.binary())], ["g", "bucket", "blob"])
+
+
+def _unsettled(units: Units, keys, docs, crcs, starts, bodies, body, a, b, buckets: int) -> pa.RecordBatch | None:
+    """The windows of chunks that no span holds, packed by hash bucket; the smallest document of a chunk, its owner, has none."""
+    odd = np.flatnonzero(keys & 1)
+    if not len(odd):
+        return None
+    begin = first_per_value(keys[odd])
+    least = np.repeat(np.minimum.reduceat(docs[odd], begin), np.diff(np.append(begin, len(odd))))
+    odd = odd[docs[odd] > least]
+    if not len(odd):
+        return None
+    unit, bounds = units.hashes([bodies[i] for i in odd.tolist()])
+    sizes = np.diff(bounds)
+    settled = np.zeros(len(unit) + 1, np.int64)
+    place = np.full(len(keys), -1)
+    place[odd] = np.arange(len(odd))
+    here = place[body] >= 0
+    np.add.at(settled, bounds[place[body[here]]] + a[here], 1)
+    np.add.at(settled, bounds[place[body[here]]] + b[here] - units.window + 1, -1)
+    owner = np.repeat(np.arange(len(odd)), sizes)
+    at = np.arange(len(unit)) - bounds[owner]
+    open_ = np.flatnonzero((np.cumsum(settled)[:-1] == 0) & (at + units.window <= sizes[owner]))
+    if not len(open_):
+        return None
+    one = grams(unit, units.window)[open_]
+    two = grams(mix64(unit ^ np.uint64(0xA0761D6478BD642F)), units.window)[open_]
+    row = odd[owner[open_]]
+    bucket = bucket_of(one, buckets)
+    order = np.argsort(bucket, kind="stable")
+    first = first_per_value(bucket[order])
+    blobs = [pack(one[o], two[o], (starts[row[o]] + at[open_[o]]).astype(np.uint32), docs[row[o]], crcs[row[o]].astype(np.uint32)) for o in np.split(order, first[1:])]
+    return pa.RecordBatch.from_arrays([pa.nulls(len(blobs), pa.int32()), pa.array(bucket[order][first]), pa.array(blobs, pa.binary())], ["g", "bucket", "blob"])
+
+
+def _decide(units: Units, settle: Callable, groups: int, buckets: int):
+    """Gathers whole blocks; packs the spans that `settle` finds by document group, and what chunks leave unsettled by bucket."""
 
     def flush(keys, docs, crcs, starts, bodies):
-        doc, crc, a, b = settle(np.asarray(keys, np.int64), np.asarray(docs, np.int64), np.asarray(crcs, np.uint32), np.asarray(starts, np.int64), bodies)
-        if not len(doc):
-            return None
-        group = group_of(doc, groups)
-        order = np.lexsort((a, crc, doc, group))
-        group, doc, crc, a, b = group[order], doc[order], crc[order], a[order], b[order]
-        begin = first_per_value(group)
-        blobs = [pack(a[x:y].astype(np.uint32), b[x:y].astype(np.uint32), doc[x:y], crc[x:y].astype(np.uint32), np.ones(y - x, np.uint32)) for x, y in zip(begin, [*begin[1:], len(group)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(group[begin].astype(np.int32)), pa.array(blobs, pa.binary())], ["g", "blob"])
+        keys, docs, crcs, starts = np.asarray(keys, np.int64), np.asarray(docs, np.int64), np.asarray(crcs, np.uint32), np.asarray(starts, np.int64)
+        body, a, b = settle(keys, docs, bodies)
+        if len(body):
+            yield _by_group(docs[body], crcs[body], starts[body] + a, starts[body] + b, groups)
+        if (rest := _unsettled(units, keys, docs, crcs, starts, bodies, body, a, b, buckets)) is not None:
+            yield rest
 
     def run(batches):
         held: tuple[list, ...] = ([], [], [], [], [])
@@ -301,14 +390,29 @@ def _decide(settle: Callable, groups: int):
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if size >= CHUNK and row[0] != held[0][-1]:
-                    if (out := flush(*held)) is not None:
-                        yield out
+                    yield from flush(*held)
                     held, size = ([], [], [], [], []), 0
                 for x, v in zip(held, row, strict=True):
                     x.append(v)
                 size += len(row[4])
-        if size and (out := flush(*held)) is not None:
-            yield out
+        if size:
+            yield from flush(*held)
+
+    return run
+
+
+def _holders(window: int, groups: int):
+    """One bucket's windows after the other: those that a smaller document holds as well, as spans."""
+
+    def run(batches):
+        for blobs in by_bucket(batches):
+            one, two, at, doc, crc = (np.concatenate(x) for x in zip(*blobs, strict=True))
+            order = np.lexsort((doc, two, one))
+            one, two, at, doc, crc = one[order], two[order], at[order].astype(np.int64), doc[order], crc[order]
+            begin = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+            again = doc > np.repeat(doc[begin], np.diff(np.append(begin, len(doc))))
+            if again.any():
+                yield _by_group(doc[again], crc[again], at[again], at[again] + window, groups)
 
     return run
 
@@ -324,9 +428,11 @@ def repeated_spans(docs: DataFrame, units: Units, settle: Callable, tag: str):
     buckets, groups = n_buckets(docs), 4 * parts
     firsts = docs.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min(F.struct("doc_id", F.crc32("text").alias("crc"))).alias("m")).select("m.doc_id", "m.crc")
     found = dealt(docs.mapInArrow(_find(units, buckets), "bucket int, blob binary"), parts)
-    shared = stage(found.mapInArrow(_own(units.block, groups), "g int, blob binary"), f"{tag}-anchors")
+    shared = stage(found.mapInArrow(_own(units.block, groups, HOT), "g int, blob binary"), f"{tag}-anchors")
     firsts = stage(firsts, f"{tag}-firsts")
     segments = meet(docs, firsts, shared, groups, parts).mapInArrow(_segments(units), "key long, doc_id long, crc long, start long, body binary")
-    spans = stage(segments.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_decide(settle, groups), "g int, blob binary"), f"{tag}-spans")
+    blocks = segments.repartition(parts, "key").sortWithinPartitions("key")
+    spans = stage(blocks.mapInArrow(_decide(units, settle, groups, buckets), "g int, bucket int, blob binary"), f"{tag}-spans")
     unstage(shared)
-    return meet(docs, firsts, spans, groups, parts)
+    rest = dealt(spans.where(F.col("bucket").isNotNull()).select("bucket", "blob"), parts).mapInArrow(_holders(units.window, groups), "g int, bucket int, blob binary")
+    return meet(docs, firsts, spans.where(F.col("g").isNotNull()).unionByName(rest), groups, parts)

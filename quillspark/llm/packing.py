@@ -42,11 +42,19 @@ _PRE_TOKENIZER = {
 }
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one past 255."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    more = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(more)) for b in range(256)]
+
+
 class WordIds(dict):
     """The ids of each word, as little-endian unsigned 32-bit values, remembered up to a bound.
 
-    A word of ASCII letters goes, in lower case, straight to the vocabulary's model, which is what its rules would
-    hand on; behind an ASCII letter a full stop or comma is a token of its own; all other words take the whole way.
+    A word of letters up to U+00FF, all of which are their own composed forms, goes in lower case straight to the
+    vocabulary's model, byte by byte, which is what its rules would hand on; behind such a letter a full stop or comma is
+    a token of its own; all other words take the whole way.
     """
 
     def __init__(self, path: str):
@@ -56,6 +64,7 @@ class WordIds(dict):
         self.older: dict[bytes, bytes] = {}
         tokenizer = Tokenizer.from_file(path)
         self.encode, self.model = tokenizer.encode, tokenizer.model.tokenize
+        self.letters = byte_letters()
         rules = json.loads(tokenizer.to_str())
         marked = all(re.search(r"[^A-Za-z.,]", t["content"]) and not (re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"]) for t in rules["added_tokens"])
         self.by_word = marked and rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == _PRE_TOKENIZER and rules["post_processor"] is None
@@ -68,7 +77,9 @@ class WordIds(dict):
             pass
         elif word.isalpha():  # bytes: ASCII letters only
             ids = np.asarray([t.id for t in self.model(word.lower().decode())], "<u4").tobytes()
-        elif word[-1:] in (b".", b",") and word[-2:-1].isalpha() and word.isascii():
+        elif (text := word.decode()).isalpha() and max(text) <= "\u00ff":
+            ids = np.asarray([t.id for t in self.model("".join([self.letters[b] for b in text.lower().encode()]))], "<u4").tobytes()
+        elif text[-1] in ".," and text[-2:-1].isalpha() and max(text) <= "\u00ff":
             ids = self[word[:-1]] + self[word[-1:]]
         else:
             ids = self.whole(word)

@@ -49,10 +49,12 @@ def _matched(rows: DataFrame) -> DataFrame:
     once a row.
     """
     text = F.col("text")
-    each = [(k, p, g) for k, p, g, *_ in PATTERNS]
     add = lambda df, make: df.select("*", *(make(k).alias(f"{name}_{k}") for name, make in make.items() for k in KINDS))
-    rows = rows.select("*", *(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"found_{k}") for k, p, _ in each), *(F.regexp_extract_all(text, F.lit(p), F.lit(g)).alias(f"value_{k}") for k, p, g in each if g), *(F.split(text, p, -1).alias(f"gap_{k}") for k, p, _ in each))
-    rows = add(rows, {"step": lambda k: F.zip_with(F.col(f"found_{k}"), F.slice(f"gap_{k}", 1, F.size(f"found_{k}")), lambda m, g: F.length(m) + F.length(g))})
+    some = lambda k, there, kind: F.when(F.size(f"found_{k}") > 0, there).otherwise(F.array().cast(f"array<{kind}>"))
+    rows = rows.select("*", *(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"found_{k}") for k, p, *_ in PATTERNS))
+    # the second look at a text is for those with a match only
+    rows = rows.select("*", *(some(k, F.regexp_extract_all(text, F.lit(p), F.lit(g)), "string").alias(f"value_{k}") for k, p, g, *_ in PATTERNS if g), *(some(k, F.split(text, p, -1), "string").alias(f"gap_{k}") for k, p, *_ in PATTERNS))
+    rows = add(rows, {"step": lambda k: some(k, F.zip_with(F.col(f"found_{k}"), F.slice(f"gap_{k}", 1, F.size(f"found_{k}")), lambda m, g: F.length(m) + F.length(g)), "int")})
     rows = add(rows, {"wide": lambda k: F.greatest(F.lit(STRETCH), F.ceil(F.sqrt(F.size(f"step_{k}"))).cast("int"))})
     stretch = lambda k, j, n: F.slice(f"step_{k}", j * F.col(f"wide_{k}") + 1, n)
     count = lambda k: F.ceil(F.size(f"step_{k}") / F.col(f"wide_{k}")).cast("int")

@@ -78,11 +78,12 @@ def factor(words: list[bytes], window: list[int], index: dict, refs: list[list[b
 
 
 def _settle(least: int):
-    def settle(keys, docs, crcs, starts, bodies):
+    def settle(keys, docs, bodies):
         words = [b.split() for b in bodies]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         first = np.cumsum(sizes) - sizes
-        hashes = grams(word_hashes([w for p in words for w in p]), least).view(np.int64)
+        flat = word_hashes([w for p in words for w in p])
+        hashes = grams(flat, least).view(np.int64) if len(flat) >= least else np.zeros(0, np.int64)
         which, froms, tos = [], [], []
         order = np.lexsort((docs, keys))
         index: dict = {}
@@ -109,8 +110,7 @@ def _settle(least: int):
                 tos.append(b)
             if not (len(spans) == 1 and spans[0] == (0, sizes[x])):
                 waiting.append((x, window))
-        w = np.asarray(which, np.int64)
-        return docs[w], crcs[w], starts[w] + np.asarray(froms, np.int64), starts[w] + np.asarray(tos, np.int64)
+        return np.asarray(which, np.int64), np.asarray(froms, np.int64), np.asarray(tos, np.int64)
 
     return settle
 

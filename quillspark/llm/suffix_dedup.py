@@ -155,9 +155,8 @@ def repeats(bodies: list[bytes], doc: np.ndarray, depth: int) -> tuple[np.ndarra
 
 
 def _settle(depth: int):
-    def settle(keys, docs, crcs, starts, bodies):
-        body, a, b = repeats(bodies, docs, depth)
-        return docs[body], crcs[body], starts[body] + a, starts[body] + b
+    def settle(keys, docs, bodies):
+        return repeats(bodies, docs, depth)
 
     return settle
 

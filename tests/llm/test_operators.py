@@ -93,6 +93,30 @@ def test_substring_dedup(docs):
         assert (r.n_words, r.n_removed, r.kept_sha256) == (len(ws), sum(flags), hashlib.sha256(kept.encode()).hexdigest()), i
 
 
+@pytest.mark.parametrize("hot", [2, 7])
+def test_hot_passages(spark, monkeypatch, hot):
+    """A passage that very many different texts hold is decided in chunks: against brute force, with contexts that only some share."""
+    monkeypatch.setattr("quillspark.llm._blocks.HOT", hot)  # read where the plan is made, and handed to the tasks
+    import quillspark.llm._blocks as blocks
+
+    assert blocks.HOT == hot
+    rng = np.random.default_rng(hot)
+    passage, heads, tails = _text(60, 1), [_text(9, 300 + i) for i in range(5)], [_text(9, 400 + i) for i in range(5)]
+    rows = []
+    for i in range(60):
+        parts = [_text(5, 500 + i), heads[rng.integers(0, 5)], passage, tails[rng.integers(0, 5)], _text(5, 600 + i)]
+        rows.append((int(rng.integers(0, 50)), " ".join(parts[int(rng.integers(0, 2)) :])))
+    rows += [(99, rows[0][1]), (1000, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for op, cut, join, name in ((suffix_dedup.suffix_dedup, lambda t: list(t.encode()), bytes, "n_bytes"), (substring_dedup.substring_dedup, str.split, lambda w: " ".join(w).encode(), "n_words")):
+        want = Counter()
+        for i, t in rows:
+            u = cut(t)
+            flags = covered(u, [cut(x) for j, x in rows if j < i], 50)
+            want[i, len(u), sum(flags), bytes(join([x for x, f in zip(u, flags, strict=True) if not f]))] += 1
+        assert Counter((r.doc_id, r[name], r.n_removed, r.kept.encode() if isinstance(r.kept, str) else bytes(r.kept)) for r in op(df).collect()) == want
+
+
 def test_line_dedup(docs):
     got = rows_by_id(line_dedup.line_dedup(docs).drop("source"))
     check_ids(got)
