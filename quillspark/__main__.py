@@ -87,8 +87,13 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from pyspark.sql import SparkSession
 
+    from quillspark.shipping import ship
+
     try:
-        return run(args, SparkSession.builder.appName("quillspark").getOrCreate(), sys.stdout)
+        spark = SparkSession.builder.appName("quillspark").getOrCreate()
+        if not spark.sparkContext.master.startswith("local["):
+            ship(spark)
+        return run(args, spark, sys.stdout)
     except (ValueError, RuntimeError, FileNotFoundError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -292,6 +292,16 @@ def heat_scale(spark, sf_dir):
     return c.crossJoin(F.broadcast(p95)).select("c_custkey", micro(rollup.heat_hue(F.col("c_acctbal"), F.col("p"))).alias("hue"))
 
 
+@query(f"""{SCORE_SQL}, placed AS (SELECT lang, source, greatest(s, 0.05) AS w FROM scores JOIN documents USING (doc_id)),
+x AS (SELECT '' AS dir, w FROM placed UNION ALL SELECT lang, w FROM placed UNION ALL SELECT lang || '/' || source, w FROM placed)
+SELECT dir, round(sum(w) * 1e4) / 1e4 AS weight, count(*) AS n_files FROM x GROUP BY 1""")
+def treemap_rollup(spark, sf_dir):
+    """The weights of the treemap's directories: languages, then sources."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "lang", "source", "doc_id").alias("path"))
+    by = rollup.directory_weights(document_scores(spark, sf_dir).select("doc_id", "s").join(docs, "doc_id"))
+    return by.select("dir", round_half_away(F.col("weight"), 4).alias("weight"), "n_files")
+
+
 @query()
 def treemap_layout(spark, sf_dir):
     """Rectangles of the sources by S: one row a source reaches the driver, as in the report."""
@@ -340,6 +350,57 @@ def implementor_division(spark, sf_dir):
     return detectors.implementors(required, methods)
 
 
+@query("""WITH need AS (SELECT DISTINCT p_brand AS iface_id, p_size % 5 AS name FROM part), have AS (SELECT DISTINCT l_suppkey AS type_id, p_brand, p_size % 5 AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
+pairs AS (SELECT h.p_brand AS iface_id, h.type_id FROM have h JOIN need n ON n.iface_id = h.p_brand AND n.name = h.name GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM need WHERE iface_id = h.p_brand))
+SELECT iface_id, count(*) AS total, sum((s_acctbal > 0)::INT)::BIGINT AS touched FROM pairs JOIN supplier ON s_suppkey = type_id GROUP BY 1 HAVING count(*) >= 2 AND sum((s_acctbal > 0)::INT) >= 0.5 * count(*)""")
+def implementor_ratio(spark, sf_dir):
+    """Brands as interfaces, most of whose implementors (suppliers) are touched (in credit)."""
+    touched = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("type_id"), (F.col("s_acctbal") > 0).alias("touched"))
+    return detectors.touched_ratio(implementor_division(spark, sf_dir).join(touched, "type_id"), ["iface_id"], 2, 0.5)
+
+
+@query("""WITH e AS (SELECT p_brand, p_type FROM part GROUP BY 1, 2 HAVING count(*) >= 2),
+g AS (SELECT p_partkey, part.p_brand, CASE WHEN p_size > 25 THEN 'bool' WHEN e.p_type IS NOT NULL THEN 'enum ' || e.p_type END AS state FROM part LEFT JOIN e ON e.p_brand = part.p_brand AND e.p_type = part.p_type),
+u AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_linenumber <> 1 GROUP BY 1)
+SELECT p_brand || '/' || p_partkey || '.go' AS path, 4 AS class, n AS size, 'f' || p_partkey || ' gains ' || state || ' for ' || n || ' external uses' AS evidence FROM g JOIN u ON l_partkey = p_partkey WHERE state IS NOT NULL AND n >= 2""")
+def external_uses(spark, sf_dir):
+    """The whole detector: parts are functions that gain a parameter, lines are uses, the first line of an order inside the package."""
+    part, li = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    name, path = F.concat(F.lit("f"), "p_partkey"), F.concat_ws("/", "p_brand", F.concat(F.col("p_partkey"), F.lit(".go")))
+    ident = F.concat_ws("#", "p_brand", name)
+    base = part.select(path.alias("path"), F.lit("").alias("recv"), name.alias("name"), F.col("p_brand").alias("pkg"), F.lit(True).alias("exported"), F.split("p_name", " ").alias("params"))
+    new = F.array(F.when(F.col("p_size") > 25, "bool").otherwise(F.col("p_type")))
+    head = part.select(path.alias("path"), F.lit("").alias("recv"), name.alias("name"), F.col("p_brand").alias("pkg"), F.lit(True).alias("exported"), F.concat(F.split("p_name", " "), new).alias("params"))
+    symbols = part.select(ident.alias("id"), F.col("p_brand").alias("pkg"), name.alias("name"), F.lit("func").alias("kind"), F.lit(True).alias("exported"), path.alias("path"))
+    inside = F.when(F.col("l_linenumber") == 1, F.col("p_brand")).otherwise(F.concat(F.lit("s"), "l_suppkey"))
+    uses = li.join(part, li.l_partkey == part.p_partkey).select(ident.alias("symbol_id"), inside.alias("pkg"), F.lit("").alias("path"), F.lit(0).cast("long").alias("pos"))
+    kinds = part.select(F.concat_ws("#", "p_brand", "p_type").alias("id"), F.col("p_brand").alias("pkg"), F.col("p_type").alias("name"), F.lit("named").alias("kind"), F.lit(False).alias("is_alias"), F.lit(False).alias("is_generic"), F.lit("").alias("path")).distinct()
+    consts = part.select(F.col("p_brand").alias("pkg"), name.alias("name"), F.concat_ws("#", "p_brand", "p_type").alias("type_id"))
+    facts = detectors.Facts(symbols=symbols, uses=uses, types=kinds, consts=consts, base_funcs=base, head_funcs=head)
+    return detectors.state_multiplier(facts).select("path", "class", "size", "evidence")
+
+
+@query("""WITH RECURSIVE l AS (SELECT 's' || s_suppkey AS a, 'n' || s_nationkey AS b FROM supplier UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+up AS (SELECT a, b FROM l UNION SELECT up.a, l.b FROM up JOIN l ON l.a = up.b),
+m AS (SELECT 'r' || r_regionkey AS t, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation)
+SELECT t AS type_id, name FROM m UNION SELECT a, name FROM up JOIN m ON m.t = up.b""")
+def promoted_methods(spark, sf_dir):
+    """Suppliers and customers embed nations, nations embed regions; their names are methods."""
+    s, c, n, r = (table(spark, sf_dir, t) for t in ("supplier", "customer", "nation", "region"))
+    ident = lambda kind, key: F.concat(F.lit(kind), key)
+    embeds = s.select(ident("s", "s_suppkey").alias("type_id"), ident("n", "s_nationkey").alias("embedded_id"))
+    embeds = embeds.unionByName(c.select(ident("c", "c_custkey").alias("type_id"), ident("n", "c_nationkey").alias("embedded_id")))
+    embeds = embeds.unionByName(n.select(ident("n", "n_nationkey").alias("type_id"), ident("r", "n_regionkey").alias("embedded_id")))
+    methods = r.select(ident("r", "r_regionkey").alias("type_id"), F.col("r_name").alias("name")).unionByName(n.select(ident("n", "n_nationkey").alias("type_id"), F.col("n_name").alias("name")))
+    return detectors.promoted(methods.select("type_id", "name", F.lit("()").alias("sig"), F.lit("").alias("path")), embeds).select("type_id", "name")
+
+
+@query("SELECT p_partkey, round(CASE WHEN p_size > 25 THEN -0.5 * log2(p_size / 25.0) ELSE 0.0 END * 1e6) / 1e6 AS bonus FROM part")
+def downgrade_bonus(spark, sf_dir):
+    """What lowering each size to 25 would earn."""
+    return table(spark, sf_dir, "part").select("p_partkey", micro(delta.downgrade_bonus(F.col("p_size").cast("double"), F.lit(25.0))).alias("bonus"))
+
+
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) rn FROM orders), l AS (SELECT l_orderkey, list(l_returnflag ORDER BY l_linenumber, l_returnflag) a FROM lineitem GROUP BY 1),
 x AS (SELECT o_custkey, o_orderkey, a, lead(a) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) b FROM o JOIN l ON o_orderkey = l_orderkey)
 SELECT o_custkey, o_orderkey, b[len(b)] AS new FROM x WHERE len(b) = len(a) + 1 AND b[1:len(a)] = a""")

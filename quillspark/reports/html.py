@@ -6,8 +6,15 @@ import os
 from datetime import datetime, timedelta
 from html import escape
 
-MIN_WEIGHT, WIDTH, HEIGHT, INSET, HEADER = 0.05, 1200.0, 800.0, 2.0, 16.0
-_STYLE = "body{font:14px sans-serif;margin:16px;background:#fff;color:#222}svg text{font:11px sans-serif;pointer-events:none}"
+#: The least weight of a file, and the colours from green (120) to red (0).
+MIN_WEIGHT, COOL, SATURATION, LIGHTNESS = 0.05, 120, 70, 45
+WIDTH, HEIGHT, INSET = 1200.0, 800.0, 2.0
+#: A label's distance from the edge, a letter's width, the height of a line, the fewest letters worth showing.
+LABEL_INSET, LABEL_WIDTH, LABEL_HEIGHT, LABEL_LEAST = 4, 7, 18, 4
+_STYLE = (
+    "body{font:14px sans-serif;margin:16px;background:#fff;color:#222}svg text{font:11px sans-serif;pointer-events:none}"
+    "section{display:none;border-top:1px solid #ccc;margin-top:12px}section:target{display:block}section div{background:#c33;height:10px}td{padding:2px 8px}"
+)
 
 
 def percentile(values: list[float], p: float) -> float:
@@ -21,7 +28,7 @@ def percentile(values: list[float], p: float) -> float:
 
 def fill(t: float, p95: float) -> str:
     share = min(1.0, max(0.0, t / p95)) if p95 > 0 else 1.0
-    return f"hsl({120 * (1 - share):.0f}, 70%, 45%)"
+    return f"hsl({COOL * (1 - share):.0f}, {SATURATION}%, {LIGHTNESS}%)"
 
 
 def squarify(weights: list[float], x: float, y: float, w: float, h: float) -> list[tuple[float, float, float, float]]:
@@ -90,26 +97,38 @@ def layout(files: list[dict], width: float = WIDTH, height: float = HEIGHT) -> l
 
 
 def _label(cell: dict) -> str:
+    """The file's name where it fits, shortened if need be, and S below it where there is room for a second line."""
     name = cell["path"].rsplit("/", 1)[-1]
-    most = int((cell["w"] - 8) / 7)
-    if cell["h"] < 18 or most < 4:
+    most = int((cell["w"] - 2 * LABEL_INSET) / LABEL_WIDTH)
+    if cell["h"] < LABEL_HEIGHT or most < LABEL_LEAST:
         return ""
-    short = name if len(name) <= most else name[: most - 1] + "…"
-    return f'<text x="{cell["x"] + 4:.2f}" y="{cell["y"] + 14:.2f}" fill="#fff">{escape(short)}</text>'
+    lines = [name if len(name) <= most else name[: most - 1] + "…"]
+    if cell["h"] >= 2 * LABEL_HEIGHT:
+        lines.append(f"S {cell['s']:.2f}")
+    place = lambda i: f'x="{cell["x"] + LABEL_INSET:.2f}" y="{cell["y"] + 14 + 13 * i:.2f}"'
+    return "".join(f'<text {place(i)} fill="#fff">{escape(x)}</text>' for i, x in enumerate(lines))
+
+
+def _detail(number: int, f: dict) -> str:
+    """The panel that shows up once its rectangle is chosen: a bar for each feature's share of S."""
+    parts = sorted(((v, k) for k, v in (f.get("contributions") or {}).items() if v > 0), reverse=True)
+    bars = "".join(f'<tr><td>{escape(k)}</td><td><div style="width:{200 * v / parts[0][0]:.0f}px"></div></td><td>{v:.3f}</td></tr>' for v, k in parts)
+    return f'<section id="f{number}"><h2>{escape(f["path"])}</h2><p>S {f["s"]:.3f}, T {f["t"]:.3f}, most from {escape(f["dominant"] or "no feature")}</p><table>{bars}</table><a href="#">close</a></section>'
 
 
 def scan_page(files: list[dict], title: str = "Code entropy") -> str:
     p95 = percentile([f["t"] for f in files], 0.95)
-    body = []
-    for c in sorted(layout(files), key=lambda c: c["path"]):
-        parts = ", ".join(f"{k} {v:.2f}" for k, v in sorted((c.get("contributions") or {}).items()) if v > 0)
-        tip = f"{c['path']}\nS {c['s']:.2f}  T {c['t']:.2f}\n{c['dominant'] or 'none'}" + (f"\n{parts}" if parts else "")
-        body.append(f'<rect x="{c["x"]:.2f}" y="{c["y"]:.2f}" width="{c["w"]:.2f}" height="{c["h"]:.2f}" fill="{fill(c["t"], p95)}" stroke="#fff"><title>{escape(tip)}</title></rect>{_label(c)}')
+    body, details = [], []
+    for i, c in enumerate(sorted(layout(files), key=lambda c: c["path"])):
+        tip = f"{c['path']}\nS {c['s']:.2f}  T {c['t']:.2f}\n{c['dominant'] or 'none'}"
+        rect = f'<rect x="{c["x"]:.2f}" y="{c["y"]:.2f}" width="{c["w"]:.2f}" height="{c["h"]:.2f}" fill="{fill(c["t"], p95)}" stroke="#fff"><title>{escape(tip)}</title></rect>'
+        body.append(f'<a href="#f{i}">{rect}{_label(c)}</a>')
+        details.append(_detail(i, c))
     total = sum(f["s"] for f in files)
     return (
         f'<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>{escape(title)}</title><style>{_STYLE}</style></head><body>'
-        f"<h1>{escape(title)}</h1><p>{len(files)} files, ΣS {total:.2f}; area is S, colour is T (red at the 95th percentile, {p95:.2f}).</p>"
-        f'<svg viewBox="0 0 {WIDTH:.0f} {HEIGHT:.0f}" width="100%">{"".join(body)}</svg></body></html>\n'
+        f"<h1>{escape(title)}</h1><p>{len(files)} files, ΣS {total:.2f}; area is S, colour is T (red at the 95th percentile, {p95:.2f}). Choose a file for its features.</p>"
+        f'<svg viewBox="0 0 {WIDTH:.0f} {HEIGHT:.0f}" width="100%">{"".join(body)}</svg>{"".join(details)}</body></html>\n'
     )
 
 

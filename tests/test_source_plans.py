@@ -185,6 +185,11 @@ def test_treemap():
             assert a["x"] + a["w"] <= b["x"] + 1e-6 or b["x"] + b["w"] <= a["x"] + 1e-6 or a["y"] + a["h"] <= b["y"] + 1e-6 or b["y"] + b["h"] <= a["y"] + 1e-6
     flat = html.squarify([6, 6, 4, 3, 2, 2, 1], 0, 0, 600, 400)
     assert [round(w * h) for _, _, w, h in flat] == [60000, 60000, 40000, 30000, 20000, 20000, 10000]
+    page = html.scan_page(FILES)
+    for i, f in enumerate(sorted(FILES, key=lambda f: f["path"])):
+        assert f'href="#f{i}"' in page and f'id="f{i}"' in page and f["path"] in page
+    assert "S 3.50" in page and html._label({"path": "abcdefgh.go", "x": 0, "y": 0, "w": 200, "h": 20, "s": 1.0}).count("<text") == 1
+    assert html._label({"path": "abcdefgh.go", "x": 0, "y": 0, "w": 200, "h": 40, "s": 1.0}).count("<text") == 2
     page = html.scan_page([FILES[3] | {"path": "<x>&.go"}])
     assert "<x>" not in page and page == html.scan_page([FILES[3] | {"path": "<x>&.go"}])
     assert html.percentile(list(range(1, 101)), 0.95) == 95 and html.percentile([], 0.95) == 0.0
@@ -260,5 +265,26 @@ def test_streaming_churn(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.unit, r.churn) for r in spark.table("churn").collect()}
     assert ("u", 2) in got and ("v", 1) in got
+    from quillspark.streaming import churn as C
+
+    spread = spark.range(200).selectExpr("concat('u', id % 3) unit", "timestamp_seconds(1700000000 + id * 40000) at")
+    direct = C.windowed_churn(spread, "unit", "at", days=5, slide="24 hours")
+    assert sorted(map(str, C.windowed_churn(spread, "unit", "at", days=5).collect())) == sorted(map(str, direct.collect()))
+    with pytest.raises(ValueError):
+        C.rolling_churn(C.daily_churn(spread, "unit", "at"), "unit", 0)
     batch = windowed_churn(df, "unit", "at", days=2)
     assert {(r.unit, r.churn) for r in batch.collect()} >= {("u", 2), ("v", 1)}
+
+
+def test_shipped_package(spark):
+    """The zip holds every module, and imports from nothing else."""
+    import subprocess
+    import sys
+    import zipfile
+
+    from quillspark.shipping import ship
+
+    path = ship(spark)
+    assert "quillspark/operators/score.py" in zipfile.ZipFile(path).namelist()
+    done = subprocess.run([sys.executable, "-I", "-c", f"import sys; sys.path.insert(0, {path!r}); import quillspark.sources.gosrc as g; print(g.__file__)"], capture_output=True, text=True, cwd="/")
+    assert done.stdout.startswith(path), done.stderr
