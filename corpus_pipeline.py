@@ -31,11 +31,19 @@ def line_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document left with fewer words than the quality rules ask for (a copy of earlier ones but for a stub) goes.
     """
-    cleaned = line_dedup.line_dedup(docs)
-    n = F.when(F.col("_qs_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    # the other columns travel as one, whatever their names
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(None).alias("none")]
+    cleaned = line_dedup.line_dedup(docs.select("doc_id", "text", F.struct(*rest).alias("rest")))
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
     cleaned = cleaned.where((F.col("_qs_removed") == 0) | (words >= quality.MIN_WORDS))
-    return cleaned.select(*(n.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+    def column(c: str):
+        if c in ("doc_id", "text"):
+            return F.col(c)
+        held = F.col("rest").getField(c)
+        return F.when(F.col("_qs_removed") > 0, F.length("text").cast("long")).otherwise(held).alias(c) if c == "n_chars" else held.alias(c)
+
+    return cleaned.select(*map(column, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
