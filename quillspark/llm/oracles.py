@@ -11,7 +11,7 @@ _WORD = r"[^\x20\x09-\x0D]"
 
 _BITS = " + ".join(f"(CASE WHEN {rule} THEN {1 << i} ELSE 0 END)" for i, rule in enumerate(RULES.values()))
 
-OP6 = rf"""
+_LEDGER = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i+7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w)-6)) AS i FROM d)),
 dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM win) WHERE n > 1),
@@ -21,10 +21,16 @@ m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transfo
   len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(nd, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(nl, 0)::BIGINT AS n_lines,
   len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]') AND strlen(x) > 1))::BIGINT AS n_upper_words, len(list_filter(w, lambda x: x = '|'))::BIGINT AS n_bars
   FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id LEFT JOIN ln ON ln.doc_id = d.doc_id),
-b AS (SELECT *, ({_BITS})::BIGINT AS fail_bits FROM m)
+b AS (SELECT *, ({_BITS})::BIGINT AS fail_bits FROM m)"""
+
+OP6 = f"""{_LEDGER}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & {BASE_POLICY.mask}) <> 0 AS base_failed,
   (fail_bits & {BASE_POLICY.mask | POLICIES["v1"].mask}) = 0 AS kept, fail_bits, 'v1' AS policy FROM b"""
 
+ABLATION = f"""{_LEDGER},
+r AS (SELECT * FROM (VALUES {", ".join(f"('{r}', {1 << i})" for i, r in enumerate(RULES))}) t(rule, bit))
+SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_only, count(*) FILTER (fail_bits & ~bit = 0) AS n_kept_without FROM r, b GROUP BY rule"""
+
 OP4 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS w FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w)-48)) AS i FROM d)),
@@ -144,4 +150,4 @@ s AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) AS spans, count(*) AS n_spans, string_agg(score, ',' ORDER BY rank, s) AS scores, count(*) FILTER (kind IN {pii.CHECKSUM}) AS n_confirmed FROM whole GROUP BY 1)
 SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans, coalesce(scores, '') AS scores, coalesce(n_confirmed, 0) AS n_confirmed FROM d LEFT JOIN s USING (doc_id)"""
 
-SQL = {"op1_suffix_dedup": OP1, "op2_decontaminate": OP2, "op3_line_dedup": OP3, "op4_substring_dedup": OP4, "op5_secrets": OP5, "op6_quality": OP6, "op10_pii": OP10}
+SQL = {"op1_suffix_dedup": OP1, "op2_decontaminate": OP2, "op3_line_dedup": OP3, "op4_substring_dedup": OP4, "op5_secrets": OP5, "op6_quality": OP6, "quality_ablation": ABLATION, "op10_pii": OP10}

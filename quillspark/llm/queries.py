@@ -50,6 +50,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.digest(op.apply_policy(op.ledger(_table(spark, sf_dir, "documents"))))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 rejects, alone and together with others: sums over the ledger's bits."""
+    from quillspark.llm import quality as op
+
+    return op.ablation(op.ledger(_table(spark, sf_dir, "documents")), op.POLICIES["v1"])
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -83,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name == "pipeline" or (name.startswith("op") and callable(f))}
+    return {name: f for name, f in globals().items() if name in ("pipeline", "quality_ablation") or (name.startswith("op") and callable(f))}
 
 
 def oracle_sql() -> dict[str, str]:
