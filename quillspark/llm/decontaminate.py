@@ -142,16 +142,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     items = stage(items_of(benchmark), "bench-items")
     windows = windows_of(docs, items, similarity)
     pairs = near_items(windows, items, radius).join(windows.select(*_H, "n_words", "start", "window"), [*_H, "n_words", "start"]).join(items.select("item_id", "shingles"), "item_id")
-    pairs = pairs.select(*_H, "item_id", "start", "window", "shingles", F.array_sort("window").alias("w"), F.array_sort("shingles").alias("s"))
+    pairs = pairs.select(*_H, "item_id", "start", "window", "shingles", F.sort_array("window").alias("w"), F.sort_array("shingles").alias("s"))
     # a value that occurs k times more often than once adds k: what equals its neighbour in order
     again = lambda c: F.filter(c, lambda x, i: (i > 0) & (F.get(c, i - 1) == x)).alias(f"{c}_again")
     pairs = pairs.select("*", again("w"), again("s"))
     times = lambda a, x: F.size(F.filter(a, lambda y: y == x))
     more = F.aggregate(F.array_intersect("w_again", "s_again"), F.lit(0), lambda acc, x: acc + F.least(times("w_again", x), times("s_again", x)))
     pairs = pairs.withColumn("both", F.size(F.array_intersect("window", "shingles")) + more)
-    pairs = pairs.withColumn("similarity", F.col("both") / (F.size("window") + F.size("shingles") - F.col("both"))).where(F.col("similarity") >= similarity)
+    pairs = pairs.withColumn("similarity", F.col("both") / (F.size("window") + F.size("shingles") - F.col("both")))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back")))
-    return pairs.groupBy(*_H, "item_id").agg(best.alias("b")).select(*_H, "item_id", (-F.col("b.back")).cast("long").alias("start_word"), F.col("b.similarity").alias("similarity"))
+    # filtered here: before the aggregation the filter would be pushed into the join, with all it takes to compute it
+    found = pairs.groupBy(*_H, "item_id").agg(best.alias("b")).where(F.col("b.similarity") >= similarity)
+    return found.select(*_H, "item_id", (-F.col("b.back")).cast("long").alias("start_word"), F.col("b.similarity").alias("similarity"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 19) -> DataFrame:
