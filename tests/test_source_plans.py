@@ -288,3 +288,25 @@ def test_shipped_package(spark):
     assert "quillspark/operators/score.py" in zipfile.ZipFile(path).namelist()
     done = subprocess.run([sys.executable, "-I", "-c", f"import sys; sys.path.insert(0, {path!r}); import quillspark.sources.gosrc as g; print(g.__file__)"], capture_output=True, text=True, cwd="/")
     assert done.stdout.startswith(path), done.stderr
+
+
+def test_comment_of_a_pull_request(tmp_path, capsys):
+    from quillspark.plans.source import CheckResult
+    from quillspark.reports import ci
+    from quillspark.reports.text import MARKER, check_markdown
+
+    r = CheckResult("a", "b", [], 0.0, 0.0, 0, 0, [], [], True, ["x"])
+    body = check_markdown(r)
+    assert ci.plan([], body) == ci.Step("create", None, body)
+    others = [{"id": 1, "body": "hello"}, {"id": 2, "body": f"see {MARKER}"}]
+    assert ci.plan(others, body).action == "create"
+    assert ci.plan([*others, {"id": 3, "body": MARKER + " old"}, {"id": 4, "body": MARKER}], body) == ci.Step("update", 3, body)
+    assert ci.plan([{"id": 3, "body": body}], body) == ci.Step("keep", 3)
+    long = MARKER + "\n" + "line\n" * 40_000
+    assert len(ci.fitted(long)) <= ci.MOST and ci.fitted(long).startswith(MARKER) and "cut off" in ci.fitted(long)
+    assert ci.write(r, str(tmp_path / "out")) == 1 and json.loads((tmp_path / "out" / "check.json").read_text())["verdict"] == "fail"
+    (tmp_path / "c.json").write_text(json.dumps([{"id": 3, "body": MARKER}]))
+    assert ci.main([str(tmp_path / "c.json"), str(tmp_path / "out" / "comment.md")]) == 0
+    assert json.loads(capsys.readouterr().out)["action"] == "update"
+    action = (__import__("pathlib").Path(__file__).parent.parent / "action.yml").read_text()
+    assert "quillspark check" in action and "quillspark.reports.ci" in action
