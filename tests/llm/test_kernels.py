@@ -318,3 +318,53 @@ def test_blobs_and_groups():
 
 def test_secret_patterns_have_known_kinds():
     assert [p[0] for p in secrets.PATTERNS][:3] == list(secrets.BASE)
+
+
+def test_staged_tables(spark):
+    import os
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    df = _common.stage(spark.range(10).selectExpr("id % 3 k", "id").groupBy("k").count(), "test")
+    assert os.path.isdir(df._qs_path) and df.count() == 3 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    _common.unstage(df)
+    assert not os.path.exists(df._qs_path)
+
+
+def test_no_temporary_folder_on_a_cluster():
+    class Conf:
+        values: dict = {}
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+        def set(self, key, value):
+            self.values[key] = value
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    for master in ("spark://somewhere:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        Context.master = master
+        with pytest.raises(ValueError):
+            _common.shared_dir(Session())
+    for master in ("local", "local[4]", "local[*]"):
+        Context.master, Conf.values = master, {}
+        assert _common.shared_dir(Session())
+
+
+def test_buckets_use_all_low_bits():
+    h = np.random.default_rng(1).integers(0, 2**64, 1 << 18, dtype=np.uint64)
+    b = _common.bucket_of(h, 1 << 20)
+    assert b.min() >= 0 and b.max() < 1 << 20 and len(np.unique(b)) > 0.2 * (1 << 20)
+
+
+def test_unknown_sizes_are_measured(spark):
+    rows = spark.createDataFrame([("x" * 1000,)] * 50, "text string")
+    unknown = rows.rdd.toDF(rows.schema)
+    assert 50_000 <= _common.input_bytes(unknown) <= 60_000 or _common.input_bytes(unknown) < 1 << 60

@@ -268,6 +268,27 @@ def test_simhash(docs):
     assert prints[3] == prints[4] == prints[12] == 0
 
 
+def test_simhash_components(spark):
+    """Many texts a few words apart, chains among them, against all pairs of fingerprints."""
+    rng, rows = np.random.default_rng(12), []
+    for k in range(30):
+        w = _text(400, 10_000 + k).split()
+        for j in range(12):
+            rows.append((int(rng.integers(0, 10**9)), " ".join(w)))
+            w[int(rng.integers(0, 400))] = f"n{k}x{j}"
+    rows += [(i, t) for i, (_, t) in enumerate(rows[:5])] + [(10**9 + 1, None), (10**9 + 2, " ")]
+    got = simhash_dedup.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    ids, prints = np.array([r.doc_id for r in got]), np.array([r.fp for r in got]).view(np.uint64)
+    root = ids.copy()
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
+    for _ in range(len(ids)):
+        new = np.where(near, root[None, :], 2**62).min(axis=1)
+        if (new == root).all():
+            break
+        root = new
+    assert (root == np.array([r.component_id for r in got])).all() and len(set(root)) < len(ids) - 100
+
+
 def test_near_duplicates(docs):
     kept = simhash_dedup.drop_near_duplicates(docs)
     ids = {r.doc_id for r in kept.collect()}
