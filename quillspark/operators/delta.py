@@ -31,6 +31,11 @@ def with_delta(rows: DataFrame, unit: str) -> DataFrame:
     return rows.select(unit, "kind", base.alias("s_base"), head.alias("s_head"), signed_delta(F.col("kind"), base, head).alias("delta"))
 
 
+def hotspots(deltas: DataFrame, unit: str, top: int = 3) -> DataFrame:
+    """The units with the highest S afterwards, highest first, ties by unit; units that are gone have none."""
+    return deltas.where(F.col("s_head") > 0).orderBy(F.col("s_head").desc(), F.col(unit).asc()).limit(top)
+
+
 def total(deltas: DataFrame, lines_changed: Column | int) -> DataFrame:
     """One row: total, density, lines_changed, n_files; the density's divisor is at least one."""
     lines = F.sum(lines_changed) if isinstance(lines_changed, Column) else F.lit(lines_changed)

@@ -50,6 +50,11 @@ def series(scores: DataFrame, frame: list[str]) -> DataFrame:
     return scores.groupBy(*frame).agg(F.sum("s").alias("s"), F.count("*").alias("n_files"))
 
 
+def time_bounds(points: DataFrame, when: str) -> DataFrame:
+    """One row: first, last, n."""
+    return points.agg(F.min(when).alias("first"), F.max(when).alias("last"), F.count("*").alias("n"))
+
+
 def newest_then_ascending(df: DataFrame, position: str, n: int) -> DataFrame:
     """The n rows with the highest position, lowest first."""
     if n <= 0:

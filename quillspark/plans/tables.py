@@ -359,6 +359,65 @@ def implementor_ratio(spark, sf_dir):
     return detectors.touched_ratio(implementor_division(spark, sf_dir).join(touched, "type_id"), ["iface_id"], 2, 0.5)
 
 
+@query("""WITH sym AS (SELECT p_partkey, p_name FROM part WHERE p_retailprice > 901 AND p_size >= 5 AND p_size > 10), u AS (SELECT l_partkey, l_suppkey, s_acctbal > 0 AS t FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)
+SELECT 'p' || p_partkey || '.go' AS path, 1 AS class, count(*) AS size, p_name || ': ' || sum(t::INT) || ' of ' || count(*) || ' uses touched' AS evidence FROM sym JOIN u ON l_partkey = p_partkey GROUP BY p_partkey, p_name HAVING count(*) >= 8 AND sum(t::INT) >= 0.8 * count(*)""")
+def identifier_fanout(spark, sf_dir):
+    """The whole detector: parts are symbols, small ones of another kind, cheap ones not exported; suppliers' files use them."""
+    part, li, supp = (table(spark, sf_dir, t) for t in ("part", "lineitem", "supplier"))
+    of = lambda kind, key: F.concat(F.lit(kind), key, F.lit(".go"))
+    kind = F.when(F.col("p_size") < 5, "label").when(F.col("p_size") < 20, "func").when(F.col("p_size") < 30, "type").when(F.col("p_size") < 40, "var").otherwise("const")
+    symbols = part.select(F.col("p_partkey").cast("string").alias("id"), F.lit("p").alias("pkg"), F.col("p_name").alias("name"), kind.alias("kind"), (F.col("p_retailprice") > 901).alias("exported"), of("p", "p_partkey").alias("path"))
+    uses = li.select(F.col("l_partkey").cast("string").alias("symbol_id"), F.lit("s").alias("pkg"), of("s", "l_suppkey").alias("path"), F.lit(0).cast("long").alias("pos"))
+    changed = part.where("p_size > 10").select(of("p", "p_partkey").alias("path")).unionByName(supp.where("s_acctbal > 0").select(of("s", "s_suppkey").alias("path")))
+    return detectors.identifier_fanout(detectors.Facts(symbols=symbols, uses=uses, changed=changed)).select("path", "class", "size", "evidence")
+
+
+@query("""WITH need AS (SELECT DISTINCT p_brand, p_size % 3 AS name FROM part), ok AS (SELECT s_suppkey, s_acctbal > 5000 AS t FROM supplier WHERE s_nationkey > 1),
+have AS (SELECT DISTINCT l_suppkey, p_brand, p_size % 3 AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
+pairs AS (SELECT p_brand, l_suppkey FROM have JOIN need USING (p_brand, name) WHERE p_brand NOT IN ('Brand#1', 'Brand#2') GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM need n WHERE n.p_brand = have.p_brand))
+SELECT 'b/' || p_brand || '.go' AS path, 1 AS class, count(*) AS size, p_brand || ': ' || sum(t::INT) || ' of ' || count(*) || ' implementors touched' AS evidence FROM pairs JOIN ok ON s_suppkey = l_suppkey GROUP BY p_brand HAVING count(*) >= 2 AND sum(t::INT) >= 0.5 * count(*)""")
+def implementor_scan(spark, sf_dir):
+    """The whole detector: brands are interfaces, two of them aliases or generic, suppliers are types, some aliases or generic."""
+    part, li, supp = (table(spark, sf_dir, t) for t in ("part", "lineitem", "supplier"))
+    file = lambda kind, key: F.concat(F.lit(kind), key, F.lit(".go")).alias("path")
+    brand = F.col("p_brand")
+    faces = part.select(F.concat(F.lit("b"), brand).alias("id"), F.lit("b").alias("pkg"), brand.alias("name"), F.lit("interface").alias("kind"), (brand == "Brand#1").alias("is_alias"), (brand == "Brand#2").alias("is_generic"), file("b/", brand)).distinct()
+    solid = supp.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.lit("s").alias("pkg"), F.col("s_name").alias("name"), F.lit("struct").alias("kind"), (F.col("s_nationkey") == 0).alias("is_alias"), (F.col("s_nationkey") == 1).alias("is_generic"), file("s", "s_suppkey"))
+    name, sig = (F.col("p_size") % 3).cast("string").alias("name"), brand.alias("sig")
+    methods = li.join(part, li.l_partkey == part.p_partkey).select(F.concat(F.lit("s"), "l_suppkey").alias("type_id"), name, sig, file("s", "l_suppkey"))
+    need = part.select(F.concat(F.lit("b"), brand).alias("iface_id"), name, sig)
+    changed = supp.where("s_acctbal > 5000").select(file("s", "s_suppkey"))
+    facts = detectors.Facts(types=faces.unionByName(solid), methods=methods, iface_methods=need, changed=changed)
+    return detectors.implementor_scan(facts).select("path", "class", "size", "evidence")
+
+
+@query("""WITH e AS (SELECT p_brand FROM part WHERE p_brand NOT IN ('Brand#3', 'Brand#4') GROUP BY 1 HAVING count(*) >= 2), s AS (SELECT p_brand, s_acctbal > 0 AS t FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN e USING (p_brand))
+SELECT 'e/' || p_brand || '.go' AS path, 1 AS class, count(*) AS size, p_brand || ': ' || sum(t::INT) || ' of ' || count(*) || ' switches touched' AS evidence FROM s GROUP BY p_brand HAVING count(*) >= 2 AND sum(t::INT) >= 0.5 * count(*)""")
+def switch_case_symmetry(spark, sf_dir):
+    """The whole detector: brands are enums, two of them aliases or generic, parts their constants, lines the switches in suppliers' files."""
+    part, li, supp = (table(spark, sf_dir, t) for t in ("part", "lineitem", "supplier"))
+    file = lambda kind, key: F.concat(F.lit(kind), key, F.lit(".go")).alias("path")
+    brand = F.col("p_brand")
+    types = part.select(brand.alias("id"), F.lit("e").alias("pkg"), brand.alias("name"), F.lit("named").alias("kind"), (brand == "Brand#3").alias("is_alias"), (brand == "Brand#4").alias("is_generic"), file("e/", brand)).distinct()
+    consts = part.select(F.lit("e").alias("pkg"), F.col("p_partkey").cast("string").alias("name"), brand.alias("type_id"))
+    sites = li.join(part, li.l_partkey == part.p_partkey).select(file("s", "l_suppkey"), F.col("l_orderkey").alias("pos"), brand.alias("type_id"))
+    changed = supp.where("s_acctbal > 0").select(file("s", "s_suppkey"))
+    return detectors.switch_case_symmetry(detectors.Facts(types=types, consts=consts, switch_sites=sites, changed=changed)).select("path", "class", "size", "evidence")
+
+
+@query("SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS n FROM events")
+def time_bounds(spark, sf_dir):
+    """The ends of a series' time axis."""
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return rollup.time_bounds(table(spark, sf_dir, "events"), "ts").select(shown("first"), shown("last"), "n")
+
+
+@query(f"WITH {_YEARS} SELECT o_custkey, round(s_head*1e6)/1e6 AS s_head FROM d WHERE s_head > 0 ORDER BY s_head DESC, o_custkey LIMIT 3")
+def change_hotspots(spark, sf_dir):
+    """The three most disordered units of a change, of those that are there afterwards."""
+    return delta.hotspots(_year_deltas(spark, sf_dir), "o_custkey").select("o_custkey", micro(F.col("s_head")).alias("s_head"))
+
+
 @query("""WITH e AS (SELECT p_brand, p_type FROM part GROUP BY 1, 2 HAVING count(*) >= 2),
 g AS (SELECT p_partkey, part.p_brand, CASE WHEN p_size > 25 THEN 'bool' WHEN e.p_type IS NOT NULL THEN 'enum ' || e.p_type END AS state FROM part LEFT JOIN e ON e.p_brand = part.p_brand AND e.p_type = part.p_type),
 u AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_linenumber <> 1 GROUP BY 1)
