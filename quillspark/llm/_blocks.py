@@ -37,7 +37,7 @@ from quillspark.llm._common import bucket_of, by_bucket, dealt, first_per_value,
 SLICE = 1 << 20
 PIECE = 1 << 21
 #: Texts of one chunk, about, where more of them hold an anchor.
-HOT = 512
+HOT = 256
 #: Anchors packed at once, and read at once from a bucket.
 PACKED = 1 << 21
 
