@@ -372,7 +372,7 @@ def identifier_fanout(spark, sf_dir):
     return detectors.identifier_fanout(detectors.Facts(symbols=symbols, uses=uses, changed=changed)).select("path", "class", "size", "evidence")
 
 
-@query("""WITH need AS (SELECT DISTINCT p_brand, p_size % 3 AS name FROM part), ok AS (SELECT s_suppkey, s_acctbal > 5000 AS t FROM supplier WHERE s_nationkey > 1),
+@query("""WITH need AS (SELECT DISTINCT p_brand, p_size % 3 AS name FROM part), ok AS (SELECT s_suppkey, s_acctbal > 4000 AS t FROM supplier WHERE s_nationkey > 1),
 have AS (SELECT DISTINCT l_suppkey, p_brand, p_size % 3 AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
 pairs AS (SELECT p_brand, l_suppkey FROM have JOIN need USING (p_brand, name) WHERE p_brand NOT IN ('Brand#1', 'Brand#2') GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM need n WHERE n.p_brand = have.p_brand))
 SELECT 'b/' || p_brand || '.go' AS path, 1 AS class, count(*) AS size, p_brand || ': ' || sum(t::INT) || ' of ' || count(*) || ' implementors touched' AS evidence FROM pairs JOIN ok ON s_suppkey = l_suppkey GROUP BY p_brand HAVING count(*) >= 2 AND sum(t::INT) >= 0.5 * count(*)""")
@@ -386,7 +386,7 @@ def implementor_scan(spark, sf_dir):
     name, sig = (F.col("p_size") % 3).cast("string").alias("name"), brand.alias("sig")
     methods = li.join(part, li.l_partkey == part.p_partkey).select(F.concat(F.lit("s"), "l_suppkey").alias("type_id"), name, sig, file("s", "l_suppkey"))
     need = part.select(F.concat(F.lit("b"), brand).alias("iface_id"), name, sig)
-    changed = supp.where("s_acctbal > 5000").select(file("s", "s_suppkey"))
+    changed = supp.where("s_acctbal > 4000").select(file("s", "s_suppkey"))
     facts = detectors.Facts(types=faces.unionByName(solid), methods=methods, iface_methods=need, changed=changed)
     return detectors.implementor_scan(facts).select("path", "class", "size", "evidence")
 
