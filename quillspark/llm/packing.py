@@ -64,7 +64,8 @@ class WordIds(dict):
         self.older: dict[bytes, bytes] = {}
         tokenizer = Tokenizer.from_file(path)
         self.encode, self.model = tokenizer.encode, tokenizer.model.tokenize
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
+        self.words = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
         rules = json.loads(tokenizer.to_str())
         marked = all(re.search(r"[^A-Za-z.,]", t["content"]) and not (re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"]) for t in rules["added_tokens"])
         self.by_word = marked and rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == _PRE_TOKENIZER and rules["post_processor"] is None
@@ -76,9 +77,9 @@ class WordIds(dict):
         if (ids := self.older.get(word)) is not None:
             pass
         elif word.isalpha():  # bytes: ASCII letters only
-            ids = np.asarray([t.id for t in self.model(word.lower().decode())], "<u4").tobytes()
+            ids = b"".join([self.words[t.id] for t in self.model(word.lower().decode())])
         elif (text := word.decode()).isalpha() and max(text) <= "\u00ff":
-            ids = np.asarray([t.id for t in self.model("".join([self.letters[b] for b in text.lower().encode()]))], "<u4").tobytes()
+            ids = b"".join([self.words[t.id] for t in self.model(text.lower().encode().decode("latin-1").translate(self.letters))])
         elif text[-1] in ".," and text[-2:-1].isalpha() and max(text) <= "\u00ff":
             ids = self[word[:-1]] + self[word[-1:]]
         else:
