@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._blocks import binary_column
-from quillspark.llm._common import bucket_of, by_bucket, dealt, first_per_value, mix64, n_buckets, n_parts, ordered, pack, stage, unstage
+from quillspark.llm._common import bucket_of, by_bucket, dealt, first_per_value, mix64, n_buckets, n_parts, pack, stage, unstage
 from quillspark.llm._components import components, forest
 
 SEED = 42
