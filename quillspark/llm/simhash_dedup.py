@@ -103,7 +103,7 @@ def _variants(radius: int, buckets: int):
 
 
 #: Pairs compared at once.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 
 
 def close_pairs(key: np.ndarray, prints: np.ndarray, radius: int):
@@ -216,8 +216,8 @@ def alike(both, n, m, similarity: float):
 
 
 #: Texts and bytes of texts of one cluster that are compared at once, in a tile of two blocks of half of them.
-TILE_TEXTS = 2048
-TILE_BYTES = 8 << 20
+TILE_TEXTS = 512
+TILE_BYTES = 2 << 20
 
 
 def tile_links(sets: list[np.ndarray], block: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
