@@ -39,7 +39,7 @@ PIECE = 1 << 21
 #: Texts of one chunk, about, where more of them hold an anchor.
 HOT = 256
 #: Anchors packed at once, and read at once from a bucket.
-PACKED = 1 << 21
+PACKED = 1 << 20
 
 
 @dataclass(frozen=True)
